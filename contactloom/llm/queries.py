@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import simhash
+from contactloom.llm import secret_scan, simhash, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every url of `pages`."""
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of `documents`."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_anchor_dedup,)}
-ORACLES: dict[str, str] = {}
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of `documents`, each distinct text scanned once."""
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_url_reputation, op7_simhash_anchor_dedup, op9_secret_ledger)}
+ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op9_secret_ledger": secret_scan.SQL}
