@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import secret_scan, simhash, url_reputation
+from contactloom.llm import decontamination, line_dedup, secret_scan, simhash, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,16 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_reputation, op7_simhash_anchor_dedup, op9_secret_ledger)}
-ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op9_secret_ledger": secret_scan.SQL}
+def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without the passages that a document before them has."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chunks", "n_removed", "n_removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of `documents` with items of `benchmark`."""
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op5_url_reputation, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
+ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op8_line_chunk_dedup": line_dedup.SQL, "op9_secret_ledger": secret_scan.SQL, "op10_spaced_seed_decontamination": decontamination.SQL}
