@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import decontamination, line_dedup, secret_scan, simhash, url_reputation
+from contactloom.llm import decontamination, line_dedup, pii, quality, secret_scan, simhash, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of `documents`."""
+    return pii.spans_of(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for every text of `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.drop("line_labels")
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every url of `pages`."""
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -39,5 +51,5 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_reputation, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op3_quality_line_crf, op5_url_reputation, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
 ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op8_line_chunk_dedup": line_dedup.SQL, "op9_secret_ledger": secret_scan.SQL, "op10_spaced_seed_decontamination": decontamination.SQL}
