@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import decontamination, line_dedup, pii, quality, secret_scan, simhash, url_reputation
+from contactloom.llm import chat, decontamination, html_wrapper, line_dedup, packing, pii, quality, secret_scan, simhash, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_of(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` packed into bins of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts for every text of `documents`."""
     docs = table(spark, sf_dir, "documents")
@@ -24,11 +29,29 @@ def op3_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("line_labels")
 
 
+#: Tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
+    "lookup": {"type": "object", "required": ["id"], "properties": {"id": {"type": ["string", "integer"]}}},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
+}
+
+
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of `conversations`, linked, ordered and in canonical JSON."""
+    return chat.link(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every url of `pages`."""
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of `pages`."""
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of `documents`."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=2)
@@ -51,5 +74,5 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op3_quality_line_crf, op5_url_reputation, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_best_fit_packing, op3_quality_line_crf, op4_tool_call_linking, op5_url_reputation, op6_html_wrapper_extraction, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
 ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op8_line_chunk_dedup": line_dedup.SQL, "op9_secret_ledger": secret_scan.SQL, "op10_spaced_seed_decontamination": decontamination.SQL}
