@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactloom.functions.text import clean_text, deobfuscate, emails_in, normalize_email
+from contactloom.functions.text import clean_text, deobfuscate, emails_in, let, normalize_email
 from contactloom.functions.urls import authority, path
 from contactloom.lexicons import GENERIC_SOCIAL_PATHS, PLACEHOLDER_EMAIL_DOMAINS, PLACEHOLDER_EMAILS, PLACEHOLDER_PHONES, PLACEHOLDER_TLDS, PLATFORMS
 
@@ -20,11 +20,8 @@ CLOUDFLARE = "/cdn-cgi/l/email-protection#"
 def is_generic_phone(c: Column, contained: bool = False) -> Column:
     """Whether a number is a placeholder, or seven digits or more all alike; ``contained`` (extended) also if it holds one."""
     norm = F.lower(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    alike = (F.length(digits) >= 7) & (F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) == 0)
-    listed = norm.isin(*PLACEHOLDER_PHONES)
-    if contained:
-        listed = listed | F.regexp_like(norm, F.lit("|".join(PLACEHOLDER_PHONES)))
+    alike = let(F.regexp_replace(c, "[^0-9]", ""), lambda d: (F.length(d) >= 7) & (F.length(F.replace(d, F.substring(d, 1, 1), F.lit(""))) == 0))
+    listed = F.regexp_like(norm, F.lit("|".join(PLACEHOLDER_PHONES))) if contained else norm.isin(*PLACEHOLDER_PHONES)
     return F.coalesce(listed | alike, F.lit(False))
 
 
@@ -48,10 +45,8 @@ def decode_cloudflare(c: Column) -> Column:
     fine = F.regexp_like(h, F.lit("^[0-9a-fA-F]{2}([0-9a-fA-F]{2})*$"))
     # the pairs are cut out by a pattern, so the fold needs no index into the text
     pairs = F.regexp_extract_all(F.when(fine, h), F.lit("[0-9a-fA-F]{2}"), F.lit(0))
-    byte = lambda x: F.conv(x, 16, 10).cast("int")
-    values = F.transform(pairs, byte)
-    key = F.element_at(values, 1)
-    return F.array_join(F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda v: F.char(v.bitwiseXOR(key))), "")
+    values = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
+    return let(values, lambda v: F.array_join(F.transform(F.slice(v, 2, F.size(v)), lambda b: F.char(b.bitwiseXOR(F.element_at(v, 1)))), ""))
 
 
 def clean_phone(c: Column) -> Column:
@@ -69,14 +64,19 @@ def to_e164(c: Column) -> Column:
     leading 1, area and exchange from 2 up; letters count as on a keypad. With
     a plus and another country code, 8 to 15 digits are taken as they are.
     """
-    x = clean_phone(c)
-    keyed = F.translate(F.upper(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
-    digits = F.regexp_replace(keyed, "[^0-9]", "")
-    plus = F.startswith(x, F.lit("+"))
-    nanp = F.regexp_extract(digits, "^1?([2-9][0-9]{2}[2-9][0-9]{6})$", 1)
-    local = F.when((nanp != "") & (~plus | F.startswith(digits, F.lit("1"))), F.concat(F.lit("+1"), nanp))
-    foreign = F.when(plus & F.regexp_like(digits, F.lit("^[2-9][0-9]{7,14}$")) & ~F.regexp_like(x, F.lit("[A-Za-z]")), F.concat(F.lit("+"), digits))
-    return F.when(~is_generic_phone(x), F.coalesce(local, foreign))
+
+    def read(x: Column) -> Column:
+        keyed = F.translate(F.upper(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
+        plus = F.startswith(x, F.lit("+"))
+
+        def number(digits: Column) -> Column:
+            local = F.when(F.regexp_like(digits, F.lit("^1?[2-9][0-9]{2}[2-9][0-9]{6}$")) & (~plus | F.startswith(digits, F.lit("1"))), F.concat(F.lit("+1"), F.right(digits, F.lit(10))))
+            foreign = F.when(plus & F.regexp_like(digits, F.lit("^[2-9][0-9]{7,14}$")) & ~F.regexp_like(x, F.lit("[A-Za-z]")), F.concat(F.lit("+"), digits))
+            return F.coalesce(local, foreign)
+
+        return F.when(~is_generic_phone(x), let(F.regexp_replace(keyed, "[^0-9]", ""), number))
+
+    return let(clean_phone(c), read)
 
 
 def distinct_sorted(c: Column) -> Column:
@@ -101,13 +101,12 @@ def emails_of_text(c: Column) -> Column:
 def mail_link(href: Column) -> Column:
     """The address of a ``mailto:`` link, without placeholders."""
     raw = clean_text(F.substring_index(F.replace(href, F.lit("mailto:"), F.lit("")), "?", 1))
-    return F.when(F.startswith(href, F.lit("mailto:")) & ~is_generic_email(raw), normalize_email(raw))
+    return F.when(F.startswith(href, F.lit("mailto:")), let(raw, lambda r: F.when(~is_generic_email(r), normalize_email(r))))
 
 
 def protected_link(href: Column) -> Column:
     """The address of a protected link, without placeholders; null too if what is decoded is no address."""
-    raw = decode_cloudflare(href)
-    return F.when(F.contains(href, F.lit("email-protection")) & ~is_generic_email(raw), normalize_email(raw))
+    return F.when(F.contains(href, F.lit("email-protection")), let(decode_cloudflare(href), lambda r: F.when(~is_generic_email(r), normalize_email(r))))
 
 
 def address_shaped(c: Column) -> Column:
@@ -135,34 +134,45 @@ def is_social(url: Column, platform: str, extended: bool = False) -> Column:
     like a user name. Extended: either will do, Facebook's ``profile.php?id=``
     counts, and generic paths are excluded too.
     """
-    _, hosts, starts, excluded, form = next(p for p in PLATFORMS if p[0] == platform)
-    h = F.replace(F.lower(authority(url)), F.lit("www."), F.lit(""))
+    return let(_parts(url), lambda u: _is_profile(u, platform, extended))
+
+
+def _parts(url: Column) -> Column:
+    """What of a url the platforms look at."""
     p = _stripped(path(url))
-    low = F.lower(p)
-    fine = h.isin(*hosts)
+    return F.struct(F.replace(F.lower(authority(url)), F.lit("www."), F.lit("")).alias("host"), p.alias("path"), F.lower(p).alias("low"), F.substring_index(p, "/", 1).alias("user"), url.alias("url"))
+
+
+def _is_profile(u: Column, platform: str, extended: bool) -> Column:
+    _, hosts, starts, excluded, form = next(p for p in PLATFORMS if p[0] == platform)
+    fine = u["host"].isin(*hosts)
     for x in excluded:
-        fine = fine & ~F.contains(low, F.lit(x))
-    user = F.substring_index(p, "/", 1)
+        fine = fine & ~F.contains(u["low"], F.lit(x))
+    user = u["user"]
     if platform == "tiktok":
         user = F.when(F.startswith(user, F.lit("@")), user).otherwise(F.concat(F.lit("@"), user))
     begins = None
     for s in starts:
-        begins = F.startswith(p, F.lit(s)) if begins is None else begins | F.startswith(p, F.lit(s))
+        begins = F.startswith(u["path"], F.lit(s)) if begins is None else begins | F.startswith(u["path"], F.lit(s))
     named = F.regexp_like(user, F.lit(form)) if form else None
-    if extended:
-        either = [x for x in (begins, named) if x is not None]
-        shaped = either[0] if len(either) == 1 else either[0] | either[1]
-        if platform == "facebook":
-            shaped = shaped | F.regexp_like(url, F.lit(r"/profile\.php\?id=\d+"))
-        generic = F.lower(user).isin(*[x.strip("/") for x in GENERIC_SOCIAL_PATHS if platform != "linkedin"])
-        return F.coalesce(fine & shaped & ~(F.coalesce(generic, F.lit(False)) & ~(begins if begins is not None else F.lit(False))), F.lit(False))
-    return F.coalesce(fine & (begins if begins is not None else named), F.lit(False))
+    if not extended:
+        return F.coalesce(fine & (begins if begins is not None else named), F.lit(False))
+    either = [x for x in (begins, named) if x is not None]
+    shaped = either[0] if len(either) == 1 else either[0] | either[1]
+    if platform == "facebook":
+        shaped = shaped | F.regexp_like(u["url"], F.lit(r"/profile\.php\?id=\d+"))
+    generic = F.lower(user).isin(*[x.strip("/") for x in GENERIC_SOCIAL_PATHS if platform != "linkedin"])
+    return F.coalesce(fine & shaped & ~(F.coalesce(generic, F.lit(False)) & ~(begins if begins is not None else F.lit(False))), F.lit(False))
 
 
 def social_platform(url: Column, extended: bool = False) -> Column:
     """The first platform of which a url is a profile, or null."""
-    found = None
-    for name, *_ in PLATFORMS:
-        hit = is_social(url, name, extended)
-        found = F.when(hit, name) if found is None else found.when(hit, name)
-    return found
+
+    def first(u: Column) -> Column:
+        found = None
+        for name, *_ in PLATFORMS:
+            hit = _is_profile(u, name, extended)
+            found = F.when(hit, name) if found is None else found.when(hit, name)
+        return found
+
+    return let(_parts(url), first)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ SEPARATOR = r"\s*[\|\-–—]\s*"
 COPYRIGHT = r"(?i)©\s*(?:\d{4}[-\s]?\d{4}|\d{4})?\s*([^.,\n]+?)(?:\s*(?:All Rights Reserved|Inc\.?|LLC|Ltd\.?|Corp\.?))?(?:\.|$)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """White space (Unicode) collapsed and stripped; null if nothing is left."""
     one = F.regexp_replace(c, r"(?U)\s+", " ")
@@ -31,8 +38,7 @@ def space_before_punctuation(c: Column) -> Column:
 
 def normalize_email(c: Column) -> Column:
     """Lower case, stripped; null unless the whole is an address."""
-    e = F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
-    return F.when(F.regexp_like(e, F.lit(f"^(?:{EMAIL})$")), e)
+    return let(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), lambda e: F.when(F.regexp_like(e, F.lit(f"^(?:{EMAIL})$")), e))
 
 
 def emails_in(c: Column) -> Column:
@@ -68,7 +74,7 @@ def is_generic_name(c: Column) -> Column:
 
 def specific(c: Column) -> Column:
     """The name, or null if it is empty or a generic term."""
-    return F.when((c != "") & ~is_generic_name(c), c)
+    return let(c, lambda x: F.when((x != "") & ~is_generic_name(x), x))
 
 
 def title_parts(c: Column) -> Column:
@@ -77,12 +83,15 @@ def title_parts(c: Column) -> Column:
 
 def company_in_title(c: Column) -> Column:
     """The last part of a title that has several; null if it or the whole is generic."""
-    parts = title_parts(c)
-    return F.when(specific(c).isNotNull() & (F.size(parts) > 1), specific(clean_text(F.element_at(parts, -1))))
+
+    def last(title: Column) -> Column:
+        return let(title_parts(title), lambda parts: F.when((F.size(parts) > 1) & (title != "") & ~is_generic_name(title), specific(clean_text(F.try_element_at(parts, F.lit(-1))))))
+
+    return let(c, last)
 
 
 def undivided_title(c: Column) -> Column:
-    return F.when(F.size(title_parts(c)) == 1, specific(c))
+    return let(c, lambda title: F.when(F.size(title_parts(title)) == 1, specific(title)))
 
 
 def copyright_holder(c: Column) -> Column:

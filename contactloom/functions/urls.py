@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contactloom.functions.text import let
 from contactloom.lexicons import LONG_SUFFIXES, PLACEHOLDER_SITES, PLACEHOLDER_TLDS
 
 IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
@@ -63,13 +64,14 @@ def registered_domain(c: Column, with_subdomain: bool = False) -> Column:
     The suffix is the last label, or one of a list of two-label suffixes.
     """
     whole = F.when(F.regexp_like(c, F.lit("://")), c).otherwise(F.concat(F.lit("http://"), c))
-    h = F.regexp_replace(host(whole), r"\.$", "")
-    long = F.substring_index(h, ".", -2).isin(*LONG_SUFFIXES)
-    plain = F.regexp_like(h, F.lit(IPV4)) | (h == "localhost")
-    labels = F.size(F.split(h, r"\."))
-    named = F.when(long & (labels > 2), F.substring_index(h, ".", -3)).when(~long & (labels > 1) & F.regexp_like(h, F.lit(r"\.[a-z][a-z0-9-]+$")), F.substring_index(h, ".", -2))
-    found = F.when(plain, h).when(named.isNotNull(), h if with_subdomain else named)
-    return F.when(~F.coalesce(F.regexp_like(c, F.lit("(?i)^(mailto|tel):")), F.lit(False)), found)
+
+    def named(h: Column) -> Column:
+        long = F.substring_index(h, ".", -2).isin(*LONG_SUFFIXES)
+        labels = F.size(F.split(h, r"\."))
+        below = F.when(long & (labels > 2), F.substring_index(h, ".", -3)).when(~long & (labels > 1) & F.regexp_like(h, F.lit(r"\.[a-z][a-z0-9-]+$")), F.substring_index(h, ".", -2))
+        return F.when(F.regexp_like(h, F.lit(IPV4)) | (h == "localhost"), h).otherwise(F.when(below.isNotNull(), h) if with_subdomain else below)
+
+    return F.when(~F.coalesce(F.regexp_like(c, F.lit("(?i)^(mailto|tel):")), F.lit(False)), let(F.regexp_replace(host(whole), r"\.$", ""), named))
 
 
 def _joined(base: str | None, link: str | None) -> str | None:
@@ -100,13 +102,17 @@ def absolute(base: Column, link: Column, strict: bool = True, general: bool = Tr
     vectorised resolver, or give null if ``general`` is off.
     """
     x = F.nullif(F.regexp_replace(link, r"(?U)^\s+|\s+$", ""), F.lit(""))
-    domain = looks_like_domain(x) if strict else F.startswith(x, F.lit("www.")) | F.regexp_like(x, F.lit(r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|org|net|edu|gov|io|co|us|uk|de|fr|es)(/|$)"))
-    done = (
-        F.when(F.regexp_like(x, F.lit(SCHEME)), x)
-        .when(F.startswith(x, F.lit("//")), F.concat(scheme(base), F.lit(":"), x))
-        .when(~F.startswith(x, F.lit("/")) & domain, F.concat(F.lit("http://"), x))
-        .when(F.startswith(x, F.lit("/")) & ~F.contains(x, F.lit("/.")), F.concat(site(base), x))
-    )
+
+    def in_place(y: Column) -> Column:
+        domain = looks_like_domain(y) if strict else F.startswith(y, F.lit("www.")) | F.regexp_like(y, F.lit(r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|org|net|edu|gov|io|co|us|uk|de|fr|es)(/|$)"))
+        return (
+            F.when(F.regexp_like(y, F.lit(SCHEME)), y)
+            .when(F.startswith(y, F.lit("//")), F.concat(scheme(base), F.lit(":"), y))
+            .when(~F.startswith(y, F.lit("/")) & domain, F.concat(F.lit("http://"), y))
+            .when(F.startswith(y, F.lit("/")) & ~F.contains(y, F.lit("/.")), F.concat(site(base), y))
+        )
+
+    done = let(x, in_place)
     return F.when(done.isNotNull(), done).when(x.isNotNull(), resolved(base, x)) if general else done
 
 

@@ -18,11 +18,10 @@ STRICT, EXTENDED = "strict", "extended"
 
 def company_name(c: Column) -> Column:
     """By trust: site name, organisation, the title's last part (shared, then own), the whole shared title, the footer's owner."""
-    og_title = text.clean_text(c["og_title"])
-    return F.coalesce(
+    return text.let(text.clean_text(c["og_title"]), lambda og_title: F.coalesce(
         text.specific(text.clean_text(c["site_name"])), text.specific(c["org_name"]), text.company_in_title(og_title),
         text.company_in_title(c["title"]), text.undivided_title(og_title), text.copyright_holder(c["footer"]),
-    )
+    ))
 
 
 def company_name_extended(c: Column, url: Column) -> Column:
@@ -94,7 +93,7 @@ def social_links(c: Column, url: Column, extended: bool = False) -> Column:
 
 def description(c: Column) -> Column:
     """The first of the three descriptions that has more than ten characters and is no generic term."""
-    fine = lambda v: F.when((F.length(text.clean_text(v)) > 10) & ~text.is_generic_name(text.clean_text(v)), text.clean_text(v))
+    fine = lambda v: text.let(text.clean_text(v), lambda d: F.when((F.length(d) > 10) & ~text.is_generic_name(d), d))
     return F.coalesce(fine(c["og_description"]), fine(c["description"]), fine(c["twitter_description"]))
 
 
@@ -112,7 +111,7 @@ def extract(pages: DataFrame, profile: str = STRICT, url_col: str = "url", html_
     more = profile == EXTENDED
     if profile not in (STRICT, EXTENDED):
         raise ValueError(f"no such profile: {profile}")
-    walked = pages.withColumn("c_", dom.raw_candidates(F.col(html_col)))
+    walked = pages.withColumn("c_", dom.raw_candidates(F.coalesce(F.col(html_col), F.lit(""))))
     c, url = F.col("c_"), F.col(url_col)
     out = walked.withColumns({
         "company_name": company_name_extended(c, url) if more else company_name(c),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.functions.text import filled
+from contactloom.operators.components import components
 from contactloom.schemas import DATA_COLUMNS
+from contactloom.session import cut
 
 TEXTS = ("name", "company_name", "business_name", "website", "phone", "email", "address", "industry", "source_url", "description")
 
@@ -94,31 +96,18 @@ def matches(incoming: DataFrame, leads: DataFrame) -> DataFrame:
 # --- upsert: records meet leads in order, an update changes what later ones meet
 
 
-def blocks(nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def blocks(nodes: DataFrame) -> DataFrame:
     """``(node, block)`` for ``nodes(node, website, company_name)``: rows that share a value, directly or in a chain.
 
-    Least labels run over values and back, each round a partial aggregate and
-    an equi-join on a row for each value, until nothing moves.
+    Each value ties its rows to the least of them, which is one row a value and
+    no pair of rows; what hangs together is found from these ties.
     """
-    from contactloom.session import cut
-
-    keys = nodes.select("node", F.explode(F.array(F.when(F.col("website").isNotNull(), F.concat(F.lit("w"), F.col("website"))), F.when(F.col("company_name").isNotNull(), F.concat(F.lit("n"), F.col("company_name"))))).alias("key")).where("key is not null")
-    keys = cut(keys.withColumn("block", F.col("node")))
-    state = None
-    for _ in range(rounds):
-        low = keys.groupBy("key").agg(F.min("block").alias("low"))
-        node = keys.join(low, "key").groupBy("node").agg(F.min("low").alias("low"))
-        # a label's own label: chains are halved each round
-        jump = node.select(F.col("node").alias("at"), F.col("low").alias("to"))
-        node = node.join(jump, node.low == jump.at, "left").select("node", F.least("low", F.coalesce("to", "low")).alias("low"))
-        keys = cut(keys.join(node, "node").select("node", "key", F.least("block", "low").alias("block")))
-        now = keys.agg(F.sum(F.xxhash64("node", "key", "block").cast("decimal(38,0)"))).first()[0]
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"blocks did not settle in {rounds} rounds")
-    return nodes.select("node").join(keys.groupBy("node").agg(F.min("block").alias("block")), "node", "left").select("node", F.coalesce("block", "node").alias("block"))
+    tagged = F.array(F.concat(F.lit("w"), F.col("website")), F.concat(F.lit("n"), F.col("company_name")))
+    keys = nodes.select("node", F.explode(tagged).alias("key")).where("key is not null")
+    least = keys.groupBy("key").agg(F.min("node").alias("b"))
+    ties = keys.join(least, "key").select(F.col("node").alias("a"), "b")
+    found = components(ties)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("block"))
 
 
 def fold(rows: list[dict], update_existing: bool) -> tuple[list[dict], int, int, int]:
@@ -173,8 +162,8 @@ def upsert(leads: DataFrame, incoming: DataFrame, update_existing: bool = True,
     now = now if now is not None else F.current_timestamp()
     stored = leads.select(F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("node"), F.col("id"), F.lit(None).cast("long").alias("seq"), *DATA_COLUMNS, "created_at", "updated_at")
     came = incoming.select(F.concat(F.lit("r"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("node"), F.lit(None).cast("long").alias("id"), F.col("seq").cast("long"), *DATA_COLUMNS, F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
-    rows = stored.unionByName(came)
-    placed = rows.join(blocks(rows.select("node", "website", "company_name")), "node")
+    rows = cut(stored.unionByName(came))
+    placed = cut(rows.join(blocks(rows.select("node", "website", "company_name")), "node"))
     sizes = placed.groupBy("block").agg(F.count("*").alias("size_"))
     placed = placed.join(sizes, "block")
     alone = placed.where("size_ = 1").withColumn("action", F.when(F.col("id").isNull(), "insert").otherwise("keep"))
@@ -215,8 +204,6 @@ def _numbered(rows: DataFrame, leads: DataFrame) -> DataFrame:
     Rows are ranged by seq; each range's count is summed over the ranges before
     it, and within a range the number is the rank.
     """
-    from contactloom.session import cut
-
     new = cut(rows.where("id is null").drop("id").repartitionByRange(F.col("seq")).withColumn("part_", F.spark_partition_id()))
     counts = new.groupBy("part_").agg(F.count("*").alias("n_"))
     before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "before_")
