@@ -10,15 +10,22 @@ and are removed from the others, after their bytes have been compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks a boundary while a text is cut; a text that holds it is not cut at all.
-MARK = "\x01\x02"
+from contactloom.llm.common import cut
+
 #: A chunk ends after a line in EVERY of 16 on average; a line of LONG words stands alone; chunks of fewer words than LEAST stay.
 EVERY, LONG, LEAST = 8, 50, 10
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_words(line: Column) -> Column:
     """Space-separated pieces of a line."""
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -29,48 +36,60 @@ def _nibble(line: Column) -> Column:
     return F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(line.cast("binary")), 32, 1)) - 1
 
 
+#: of the empty text, which stands before the first line
+_NONE = 14
+
+
 def chunks(text: Column, every: int = EVERY, long_words: int = LONG) -> Column:
-    """The chunks of a text; joined by newlines they are the text again."""
-    lines = F.split(text, "\n", -1)
-    hashed = F.transform(lines, lambda x: F.struct(x.alias("t"), _nibble(x).alias("h")))
-    before = F.transform(F.split(F.concat(F.lit("\n"), text), "\n", -1), _nibble)
+    """The chunks of a text as structs: lines, words and ``t``, the chunk; joined by newlines they are the text again.
+
+    Each line is hashed and its words are counted once; the rest works on
+    positions, and characters are touched again only to put a chunk together.
+    """
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("t"), _nibble(x).alias("h"), n_words(x).alias("w")))
 
-    def marked(x: Column, h: Column) -> Column:
-        alone = n_words(x["t"]) >= long_words
-        ends = (x["h"] + h * 3) % 16 < every
-        return F.concat(F.when(alone, MARK).otherwise(""), x["t"], F.when(alone | ends, MARK).otherwise(""))
+    def cut_at(held: Column) -> Column:
+        def begins(i: Column) -> Column:
+            here, last = F.get(held, i), F.get(held, i - 1)
+            ends = (last["h"] + F.coalesce(F.get(held, i - 2)["h"], F.lit(_NONE)) * 3) % 16 < every
+            return (i == 0) | (here["w"] >= long_words) | (last["w"] >= long_words) | ends
 
-    # the list of hashes before each line has one more at its end, which has no line
-    whole = F.array_join(F.transform(F.filter(F.zip_with(hashed, before, lambda x, h: F.struct(x.alias("x"), h.alias("h"))), lambda p: p["x"].isNotNull()), lambda p: marked(p["x"], p["h"])), "\n")
-    bare = F.regexp_replace(whole, f"^{MARK}|{MARK}$", "")
-    return F.when(F.contains(text, F.lit(MARK)), F.array(text)).otherwise(F.split(bare, f"{MARK}\n(?:{MARK})?|\n{MARK}", -1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), begins)
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(held)))
 
+        def chunk(s: Column, e: Column) -> Column:
+            own = F.slice(held, s + 1, e - s)
+            return F.struct((e - s).alias("lines"), F.aggregate(own, F.lit(0), lambda n, x: n + x["w"]).alias("words"), F.array_join(F.transform(own, lambda x: x["t"]), "\n").alias("t"))
 
-def n_lines(chunk: Column) -> Column:
-    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+        return let(starts, lambda at: F.zip_with(at, ends(at), chunk))
+
+    return let(lines, cut_at)
 
 
 def eligible(chunk: Column, long_words: int = LONG, least: int = LEAST) -> Column:
-    words = n_words(F.translate(chunk, "\n", " "))
-    return ((n_lines(chunk) >= 2) & (words >= least)) | (words >= long_words)
+    return ((chunk["lines"] >= 2) & (chunk["words"] >= least)) | (chunk["words"] >= long_words)
 
 
 def repeated(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: int = LEAST) -> DataFrame:
     """``(doc_id, gone)`` for ``docs(doc_id, text)``: numbers of the chunks to remove, sorted.
 
-    First 64-bit hashes of all chunks find those in more than one document; no
-    text is moved for that. Then the bytes of just these chunks are compared:
-    they are grouped by the chunk itself. Both groupings combine in the map
-    stage, and what a chunk brings back to its rows is one row, so a chunk that
-    a third of all documents share is neither gathered nor joined in one task.
+    Chunks are grouped by a 64-bit hash. Their bytes are compared in the same
+    grouping, by the least and the greatest chunk of each hash: if these are
+    equal, so are all. Groups in which they differ are grouped again by the
+    chunk itself. Groups combine in the map stage, and what comes back to a
+    chunk's rows is one row, so a chunk that a third of all documents share is
+    neither gathered nor joined in one task.
     """
-    cut_up = docs.where("doc_id is not null").select("doc_id", F.posexplode(chunks(F.col("text"), every, long_words)).alias("no", "chunk")).where(eligible(F.col("chunk"), long_words, least))
-    hashed = cut_up.select("doc_id", "no", F.xxhash64("chunk").alias("h"))
-    shared = hashed.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("h")
-    suspects = hashed.join(shared, "h").groupBy("doc_id").agg(F.collect_list("no").alias("nos"))
-    texts = docs.join(suspects, "doc_id").select("doc_id", F.explode(F.filter(F.transform(chunks(F.col("text"), every, long_words), lambda c, i: F.struct(i.alias("no"), c.alias("chunk"))), lambda p: F.array_contains("nos", p["no"]))).alias("p")).select("doc_id", "p.no", "p.chunk")
-    first = texts.groupBy("chunk").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("chunk", "a")
-    again = texts.join(first, "chunk").where("doc_id > a")
+    held = docs.where("doc_id is not null").select("doc_id", F.posexplode(chunks(F.col("text"), every, long_words)).alias("no", "c")).where(eligible(F.col("c"), long_words, least))
+    hashed = held.select("doc_id", "no", F.xxhash64("c.t").alias("h"))
+    groups = held.select("doc_id", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), (F.min("t") != F.max("t")).alias("mixed")).where("a < z").select("h", "a", "mixed")
+    groups = cut(groups)
+    again = hashed.join(groups.where("not mixed").select("h", "a"), "h").where("doc_id > a").select("doc_id", "no")
+    mixed = groups.where("mixed").select("h")
+    if not mixed.isEmpty():
+        texts = held.select("doc_id", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).join(mixed, "h")
+        first = cut(texts.groupBy("t").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("t", "a"))
+        again = again.unionByName(texts.join(first, "t").where("doc_id > a").select("doc_id", "no"))
     return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
@@ -84,17 +103,25 @@ def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: in
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = repeated(slim, every, long_words, least).withColumnRenamed("doc_id", "gone_id")
-    held = docs.join(gone, docs[id_col] == gone.gone_id, "left").drop("gone_id")
-    parts = F.transform(chunks(F.coalesce(F.col(text_col).cast("string"), F.lit("")), every, long_words), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(parts, lambda p: ~F.array_contains("gone", p["i"]))
-    out = F.filter(parts, lambda p: F.array_contains("gone", p["i"]))
+    joined = docs.join(gone, docs[id_col] == gone.gone_id, "left").drop("gone_id")
     touched = F.col("gone").isNotNull()
-    return held.withColumns({
-        "n_chunks": F.when(F.col(text_col).isNotNull(), F.size(parts)).otherwise(0).cast("long"),
+
+    def cleaned(parts: Column) -> Column:
+        out = lambda i: F.array_contains("gone", i)
+        kept = F.filter(parts, lambda c, i: ~out(i))
+        lost = F.filter(parts, lambda c, i: out(i))
+        return F.struct(
+            F.size(parts).alias("n"), F.when(touched, F.aggregate(lost, F.lit(0), lambda n, c: n + c["lines"])).otherwise(0).alias("lines"),
+            F.when(touched, F.array_join(F.transform(kept, lambda c: c["t"]), "\n")).alias("t"),
+        )
+
+    whole = chunks(F.col(text_col).cast("string"), every, long_words)
+    return joined.withColumn("cleaned_", F.when(F.col(text_col).isNotNull(), let(whole, cleaned))).withColumns({
+        "n_chunks": F.coalesce("cleaned_.n", F.lit(0)).cast("long"),
         "n_removed": F.when(touched, F.size("gone")).otherwise(0).cast("long"),
-        "n_removed_lines": F.when(touched, F.aggregate(out, F.lit(0), lambda n, p: n + n_lines(p["c"]))).otherwise(0).cast("long"),
-        text_col: F.when(touched, F.array_join(F.transform(kept, lambda p: p["c"]), "\n")).otherwise(F.col(text_col)),
-    }).drop("gone")
+        "n_removed_lines": F.coalesce("cleaned_.lines", F.lit(0)).cast("long"),
+        text_col: F.when(touched, F.col("cleaned_.t")).otherwise(F.col(text_col)),
+    }).drop("gone", "cleaned_")
 
 
 SQL = r"""
