@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import stored
+
 RULE_VERSION = 1
 #: kind, pattern (Java), least length, group the length is taken of. The order is that of ties.
 #: A run that falls short holds no later match that would do, so access and hex have
@@ -112,7 +114,8 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc
     Null or empty texts have no spans; rows without an id, repeated rows and
     copies each get the findings of their text; other columns are ignored.
     """
-    new = update_ledger(docs, ledger, text_col)
+    # a written ledger has a known size, and joins its paths by an exchange of its own, so that a blob with many paths can be split
+    new = stored(update_ledger(docs, ledger, text_col))
     whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return findings(slim, whole, ["doc_id"], "text").select("doc_id", *digest(F.col("found")))
