@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,9 +201,7 @@ def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def keep(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows, all columns as they were; nothing is shuffled."""
 
-    def verdicts(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def verdicts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             found = [x or "" for x in s]
             out: list[bool] = []
@@ -210,4 +209,4 @@ def keep(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                 out += [x[7] for x in judged(found[part], chain)]
             yield pd.Series(out, dtype=bool)
 
-    return docs.where(F.pandas_udf(verdicts, "boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return docs.where(F.pandas_udf(verdicts, "boolean")(F.col(text_col).cast("string")))
