@@ -146,20 +146,23 @@ def codes() -> tuple[Code, ...]:
     return tuple(Code(*b) for b in BLOCKS)
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(index, anchor)``: the anchors of every fingerprint that lie at most one step beyond the covering radius."""
+def near_anchors(fp: np.ndarray, blocks: tuple[Code, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """``(index, anchor)``: the anchors of every fingerprint that lie at most one step beyond the covering radius.
+
+    The anchors are the products of the words of ``blocks``, low bits first.
+    """
     bits = fp.view(np.uint64)
-    low, parts, homes, syndromes = 0, [], [], []
-    for code in codes():
+    low, parts = 0, []
+    home = np.zeros(len(fp), np.uint64)
+    for code in blocks:
         x = ((bits >> np.uint64(low)) & np.uint64((1 << code.n) - 1)).astype(np.int64)
         s = code.syndrome(x)
-        parts.append((x, low))
-        syndromes.append(s)
-        homes.append((x ^ code.near[s]).astype(np.uint64) << np.uint64(low))
+        own = (x ^ code.near[s]).astype(np.uint64) << np.uint64(low)
+        parts.append((code, x, low, s, own))
+        home |= own
         low += code.n
-    home = homes[0] | homes[1] | homes[2] | homes[3]
     index, found = [np.arange(len(fp))], [home]
-    for code, (x, low), s, own in zip(codes(), parts, syndromes, homes):
+    for code, x, low, s, own in parts:
         n = code.n_far[s]
         i = np.repeat(np.arange(len(fp)), n)
         k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + code.far_at[s[i]]
@@ -169,6 +172,11 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(found)
 
 
+def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``near_anchors`` for the code of this module."""
+    return near_anchors(fp, codes())
+
+
 def replicas(groups: DataFrame) -> DataFrame:
     """``(anchor, fp, rep)`` for every anchor of every row of ``groups(fp, rep)``."""
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import decontamination, line_dedup, packing, quality, simhash
+from contactloom.llm import decontamination, line_dedup, near_copies, packing, quality
 from contactloom.llm.common import SPACE, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,8 +30,8 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the least doc_id."""
-    return simhash.keep_one(docs, width=3)
+    """One document of each class of near copies (five-word shingles, similarity 0.8 or more) stays, that of the least doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
