@@ -10,8 +10,8 @@ no task gathers the pages of a host, only expressions of template size.
 
 The main text is what stands in the article (or, without such an element, in
 the body), without regions that hold menus, headers, footers, sidebars,
-notices, adverts, forms or comments by their tag, role or class, and without
-the host's template texts.
+notices, adverts, forms or comments by their tag, role or class. Of a page
+without an article element the host's template texts go too.
 """
 
 from __future__ import annotations
@@ -270,9 +270,9 @@ def key_of(path: tuple, text: str) -> str:
 
 
 def text_of(page: str, constant: frozenset = frozenset()) -> str:
-    """The main text of a page of a host with these template texts."""
+    """The main text of a page of a host with these template texts; an article is kept whole."""
     region = main_region(blocks(page))
-    own = [b for b in region if key_of(b.path, b.text) not in constant] if constant else region
+    own = [b for b in region if b.region or key_of(b.path, b.text) not in constant] if constant else region
     # a host whose pages are all alike has no article to tell from a template
     return " ".join(b.text for b in (own or region))
 
