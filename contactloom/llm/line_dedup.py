@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from contactloom.llm.common import cut
 
 #: A chunk ends after a line in EVERY of 16 on average; a line of LONG words stands alone; chunks of fewer words than LEAST stay.
-EVERY, LONG, LEAST = 8, 50, 10
+#: A passage begins and ends within chunks that it shares with its neighbours, so lines of a paragraph's length stand alone.
+EVERY, LONG, LEAST = 4, 25, 10
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,7 +72,7 @@ def eligible(chunk: Column, long_words: int = LONG, least: int = LEAST) -> Colum
 
 
 def repeated(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: int = LEAST) -> DataFrame:
-    """``(doc_id, gone)`` for ``docs(doc_id, text)``: numbers of the chunks to remove, sorted.
+    """``(doc_id, version, gone)`` for ``docs(doc_id, version, text)``: numbers of the chunks to remove, sorted.
 
     Chunks are grouped by a 64-bit hash. Their bytes are compared in the same
     grouping, by the least and the greatest chunk of each hash: if these are
@@ -80,30 +81,31 @@ def repeated(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least:
     chunk's rows is one row, so a chunk that a third of all documents share is
     neither gathered nor joined in one task.
     """
-    held = docs.where("doc_id is not null").select("doc_id", F.posexplode(chunks(F.col("text"), every, long_words)).alias("no", "c")).where(eligible(F.col("c"), long_words, least))
-    hashed = held.select("doc_id", "no", F.xxhash64("c.t").alias("h"))
+    held = docs.where("doc_id is not null").select("doc_id", "version", F.posexplode(chunks(F.col("text"), every, long_words)).alias("no", "c")).where(eligible(F.col("c"), long_words, least))
+    hashed = held.select("doc_id", "version", "no", F.xxhash64("c.t").alias("h"))
     groups = held.select("doc_id", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), (F.min("t") != F.max("t")).alias("mixed")).where("a < z").select("h", "a", "mixed")
     groups = cut(groups)
-    again = hashed.join(groups.where("not mixed").select("h", "a"), "h").where("doc_id > a").select("doc_id", "no")
+    again = hashed.join(groups.where("not mixed").select("h", "a"), "h").where("doc_id > a").select("doc_id", "version", "no")
     mixed = groups.where("mixed").select("h")
     if not mixed.isEmpty():
-        texts = held.select("doc_id", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).join(mixed, "h")
+        texts = held.select("doc_id", "version", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).join(mixed, "h")
         first = cut(texts.groupBy("t").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("t", "a"))
-        again = again.unionByName(texts.join(first, "t").where("doc_id > a").select("doc_id", "no"))
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+        again = again.unionByName(texts.join(first, "t").where("doc_id > a").select("doc_id", "version", "no"))
+    return again.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with texts cleaned, and ``n_chunks``, ``n_removed``, ``n_removed_lines``.
 
     A null text stays null and has no chunks, an empty one is one empty chunk.
-    Rows without an id, and rows of one id among themselves, keep all they have;
-    a passage repeated within one document stays there unless another document
+    Rows without an id, and rows of one id among themselves (copies or versions
+    of one document), keep all they have; a passage repeated within one document stays there unless another document
     of a lesser id has it. All other columns are kept as they are.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gone = repeated(slim, every, long_words, least).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs[id_col] == gone.gone_id, "left").drop("gone_id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    gone = repeated(slim, every, long_words, least).toDF("gone_id", "gone_version", "gone")
+    joined = docs.join(gone, (docs[id_col] == gone.gone_id) & (F.xxhash64(text) == gone.gone_version), "left").drop("gone_id", "gone_version")
     touched = F.col("gone").isNotNull()
 
     def cleaned(parts: Column) -> Column:
@@ -129,13 +131,13 @@ WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FRO
 r AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i, unnest(list_concat([''], lines[1:len(lines) - 1])) AS prior FROM l),
 f AS (
-  SELECT doc_id, i, line, len(string_split(line, ' ')) >= 50 AS alone,
-         (instr('0123456789abcdef', right(md5(line), 1)) - 1 + (instr('0123456789abcdef', right(md5(prior), 1)) - 1) * 3) % 16 < 8 AS ends FROM r),
+  SELECT doc_id, i, line, len(string_split(line, ' ')) >= 25 AS alone,
+         (instr('0123456789abcdef', right(md5(line), 1)) - 1 + (instr('0123456789abcdef', right(md5(prior), 1)) - 1) * 3) % 16 < 4 AS ends FROM r),
 b AS (SELECT doc_id, i, line, alone OR coalesce(lag(alone OR ends) OVER w, TRUE) AS begins FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT doc_id, i, line, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no FROM b),
 c AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM n GROUP BY doc_id, no),
 e AS (SELECT *, len(string_split(replace(chunk, chr(10), ' '), ' ')) AS n_words FROM c),
-k AS (SELECT chunk, min(doc_id) AS a FROM e WHERE (n_lines >= 2 AND n_words >= 10) OR n_words >= 50 GROUP BY chunk HAVING min(doc_id) < max(doc_id)),
+k AS (SELECT chunk, min(doc_id) AS a FROM e WHERE (n_lines >= 2 AND n_words >= 10) OR n_words >= 25 GROUP BY chunk HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT e.*, coalesce(doc_id > a, FALSE) AS gone FROM e LEFT JOIN k USING (chunk))
 SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
        md5(coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_md5
