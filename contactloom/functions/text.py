@@ -122,15 +122,17 @@ def captcha(html: Column) -> Column:
 def markdown(html: Column) -> Column:
     """A page as plain lines with headings, list marks and links; scripts and styles left out."""
     c = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?is)<h([1-6])\b[^>]*>", "\n\n# ")
+    for level in range(1, 7):
+        c = F.regexp_replace(c, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
     c = F.regexp_replace(c, r"(?is)<li\b[^>]*>", "\n- ")
     c = F.regexp_replace(c, r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)")
     c = F.regexp_replace(c, r"(?is)<br\s*/?>|</(p|div|tr|ul|ol|h[1-6]|article|section|footer|header|nav)\s*>", "\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", ""), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(c, r"\n\s*\n\s*", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"\n\s*\n\s*", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
-PAGE_LIMIT, CUT_MARK = 98_304, "\n[Content truncated...]"
+# fixed values
+PAGE_LIMIT, CUT_MARK = 98_304, "\n\n[Content truncated]"
 
 
 def shortened(c: Column, limit: int = PAGE_LIMIT) -> Column:

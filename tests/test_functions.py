@@ -93,7 +93,7 @@ def test_phones_in_text(spark):
 
 
 def test_address_shapes(spark):
-    check(spark, [("12 Main Road, Austin TX 75001", True), ("No. 7, 10115 Berlin", True), ("Main Road", False), ("1 a 12345", False), (None, False)], C.address_shaped)
+    check(spark, [("12 Main Road, Austin TX 75001", True), ("No. 7, Platz 1, 10115 Berlin", True), ("No. 7, 10115 Berlin", False), ("Main Road", False), ("1 a 12345", False), (None, False)], C.address_shaped)
 
 
 @pytest.mark.parametrize("extended", [False, True])
@@ -111,5 +111,5 @@ def test_captcha(spark):
 
 
 def test_markdown(spark):
-    check(spark, [("<h1>T</h1><script>no()</script><ul><li>a</li><li><a href='/x'>b</a></li></ul>", "# T\n- a\n- [b](/x)")], text.markdown)
+    check(spark, [("<h1>T</h1><script>no()</script><ul><li>a</li><li><a href='/x'>b</a></li></ul>", "# T\n\n- a\n- [b](/x)"), ("<h3 id=a>U</h3>x", "### U\nx")], text.markdown)
     check(spark, [("abcdef", "abc" + text.CUT_MARK), ("ab", "ab")], lambda c: text.shortened(c, 3))
