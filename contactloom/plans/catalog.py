@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom import lexicons as L
 from contactloom.functions import contacts as C
 from contactloom.functions import markup, text, urls
 from contactloom.operators import directory, extract, fetch, report, resolve
-from contactloom.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -424,16 +423,7 @@ def upsert_counters(spark, sf_dir):
 def batch_assign(spark, sf_dir):
     """Chunks of 500 by a dense number that is made without one task seeing all rows."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return report.batches(dense_numbers(orders, "o_orderkey"), "number", 500).select("o_orderkey", "batch")
-
-
-def dense_numbers(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``number``, 1 and up by a unique column: ranged, ranked within ranges, and moved by the ranges' sizes."""
-    ranged = cut(df.repartitionByRange(column).withColumn("part_", F.spark_partition_id()))
-    sizes = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    rank = F.row_number().over(Window.partitionBy("part_").orderBy(column))
-    return ranged.join(F.broadcast(before), "part_").withColumn("number", (rank + F.col("before_")).cast("long")).drop("part_", "before_")
+    return report.batches(report.dense_numbers(orders, "o_orderkey"), "number", 500).select("o_orderkey", "batch")
 
 
 @query(f"SELECT DISTINCT link FROM (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS link, page_id FROM pages) a WHERE NOT EXISTS (SELECT 1 FROM pages b WHERE b.page_id % 7 = 0 AND regexp_extract(b.url, '^([a-z]+://[^/?#]*)', 1) = a.link)")

@@ -66,8 +66,6 @@ class Leads:
 
         A record without scraped_from_url is an error, and nothing is written then.
         """
-        from contactloom.plans.catalog import dense_numbers
-
         now = now if now is not None else F.current_timestamp()
         types = {f.name: f.dataType for f in self.read().schema.fields}
         whole = records.select(*[(F.col(c) if c in records.columns else F.lit(None)).cast(types[c]).alias(c) for c in DATA_COLUMNS])
@@ -75,7 +73,7 @@ class Leads:
             raise ValueError("scraped_from_url must not be null")
         first = self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         keyed = whole.withColumn("key_", F.struct(F.coalesce("scraped_from_url", F.lit("")), F.monotonically_increasing_id()))
-        rows = dense_numbers(keyed, "key_").select((F.col("number") + first).alias("id"), *DATA_COLUMNS, now.alias("created_at"), now.alias("updated_at"))
+        rows = report.dense_numbers(keyed, "key_").select((F.col("number") + first).alias("id"), *DATA_COLUMNS, now.alias("created_at"), now.alias("updated_at"))
         rows.select(*LEAD_COLUMNS).write.mode("append").parquet(f"{self.path}/{self._version()}")
         return rows
 
