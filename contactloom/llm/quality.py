@@ -139,11 +139,11 @@ def sampled_examples(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
     order = F.xxhash64("doc_id")
     half = sample_docs // 2
     picked = [rated.where(F.col("quality") == q).orderBy(order, "doc_id").limit(half) for q in (0, 1)]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(order, "doc_id", "text").limit(2 * sample_docs).toLocalIterator()
+    lines = F.slice(F.split(F.col("text").cast("string"), "\n", -1), 1, sample_lines)
+    rows = docs.select("doc_id", lines.alias("lines")).where("lines is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(order, "doc_id", "lines").limit(2 * sample_docs).toLocalIterator()
     found = []
     for row in rows:
-        lines = row.text.split("\n")[:sample_lines]
-        found.append((features(line_values(lines)), np.full(len(lines), CONTENT if row.quality else BOILERPLATE)))
+        found.append((features(line_values(row.lines)), np.full(len(row.lines), CONTENT if row.quality else BOILERPLATE)))
     return found
 
 
