@@ -20,8 +20,8 @@ from contactloom.llm.common import ascii_lower, cut, words
 MASKS = ("11011011", "110100111")
 #: Score of an overlap: a match counts 1, a substitution -2; an overlap needs this much.
 MATCH, MISMATCH, LEAST_SCORE = 1, -2, 8
-#: Up to so many distinct test seeds (about 100 MB) are broadcast, more are joined by a shuffle.
-BROADCAST_SEEDS = 2_000_000
+#: Test seeds are broadcast, each with its item's tokens, up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 100_000_000
 
 
 def tokens(c: Column) -> Column:
@@ -53,7 +53,7 @@ def overlap_score(a: Column, b: Column) -> Column:
     return F.aggregate(steps, zero, step, lambda s: s["best"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCORE, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = BROADCAST_SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCORE, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, score, start)``: every document and test item that overlap, with the best score and the least token position of an overlap of that score.
 
     Null and empty texts overlap nothing, as do texts and items with fewer
@@ -68,7 +68,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCO
     held = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(tokens(F.col(text_col).cast("string")))).alias("w"))
     first = F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
     skipped = first - F.col("at") + F.col("item_at")
-    if seeds.count() <= broadcast_seeds:
+    # a row's keys, and for each token its place and its bytes
+    weight = 64 + 16 * F.size("item") + F.octet_length(F.array_join("item", ""))
+    if (seeds.agg(F.sum(weight.cast("long"))).first()[0] or 0) <= broadcast_bytes:
         # each mask meets the seeds before the union: positions, seeds and probes stay in one
         # generated loop over a document, and only hits become rows, with their stretch of tokens
         hits = [seed_rows(held, m).join(F.broadcast(seeds), "seed") for m in masks]

@@ -37,7 +37,7 @@ def test_against_plain(tables):
     want = sorted(((d, k, s, a) for (d, k), (s, a) in plain.overlaps(docs, items, dc.MASKS, dc.LEAST_SCORE).items()), key=repr)
     assert plain.rows(dc.overlaps(*tables)) == want
     # too many seeds to broadcast: joined by a shuffle, with the same result
-    assert plain.rows(dc.overlaps(*tables, broadcast_seeds=0)) == want
+    assert plain.rows(dc.overlaps(*tables, broadcast_bytes=0)) == want
 
 
 def test_any_substituted_token_is_tolerated(spark):
@@ -58,8 +58,8 @@ def test_clean(spark, tables):
 
 
 def test_no_python_in_the_plan(tables):
-    for seeds in (0, 10**6):
-        plan = dc.overlaps(*tables, broadcast_seeds=seeds)._jdf.queryExecution().executedPlan().toString()
+    for size in (0, 10**8):
+        plan = dc.overlaps(*tables, broadcast_bytes=size)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
