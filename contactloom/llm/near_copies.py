@@ -8,8 +8,9 @@ less. So every text gets several short fingerprints of its word set, each of
 bits at most are candidates. They meet at the anchors of a covering code, the
 product of three Hamming codes (2^33 anchors), as in ``simhash``.
 
-Candidates are verified on their whole shingle sets, so the fingerprints decide
-only what is compared. Equal texts and equal fingerprints are grouped first,
+Candidates are verified on their whole shingle sets, after a sketch of the sets
+has ruled out most of the dissimilar, so fingerprints and sketches decide only
+what is compared. Equal texts and equal fingerprints are grouped first,
 which bounds the fingerprints that can meet at one anchor by a constant. Then
 every meeting point's least document, its hub, is compared with the others
 there; what is similar to it is absorbed, and the point's next round has the
@@ -36,7 +37,9 @@ from contactloom.llm.simhash import Code, majority, near_anchors, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of a text; bits that may differ; rounds of comparison with an anchor's least document.
-SEEDS, THRESHOLD, STARS = 6, 2, 3
+SEEDS, THRESHOLD, STARS = 6, 2, 2
+#: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 26 +- 5.
+SKETCH, SKETCH_SLACK = 256, 38
 #: length, generator polynomial, covering radius of each block, low bits first.
 BLOCKS = ((15, 0b10011, 1),) * 3
 BITS = sum(b[0] for b in BLOCKS)
@@ -99,34 +102,63 @@ def meetings(heads: DataFrame) -> DataFrame:
     return heads.select("seed", "fp", "rep").mapInArrow(run, "seed int, at long, fp long, rep long")
 
 
+def sketch(held: np.ndarray) -> np.ndarray:
+    """One bit of the least hash of a set under each of SKETCH orders, packed into longs: sets of similarity s differ in (1 - s) / 2 of them."""
+    least = np.full(SKETCH, np.uint64(2**64 - 1))
+    factors, moves = mixed(np.arange(SKETCH, dtype=np.uint64), 101) | np.uint64(1), mixed(np.arange(SKETCH, dtype=np.uint64), 202)
+    for at in range(0, len(held), 1024):
+        x = held[at : at + 1024, None] * factors + moves
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, x.min(axis=0), out=least)
+    return np.packbits((least >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+SKETCHES = [f"s{k}" for k in range(SKETCH // 64)]
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(rep, n, held)``: the distinct shingles of ``docs(rep, text)``, as hashes."""
+    """``(rep, n, s0, s1, .., held)``: the distinct shingles of ``docs(rep, text)`` as hashes, their number and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for part in by_bytes([], [len(t) for t in texts]):
-                found = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in texts[part]]
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rep", "n", "held"])
+                found = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts[part]]
+                bits = np.array([sketch(x) for x in found], np.int64).reshape(-1, len(SKETCHES)).T
+                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *map(pa.array, bits), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "n", *SKETCHES, "held"])
 
-    return docs.mapInArrow(run, "rep long, n long, held array<long>")
+    return docs.mapInArrow(run, f"rep long, n long, {', '.join(f'{c} long' for c in SKETCHES)}, held array<long>")
 
 
 def near(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= threshold
 
 
+def promising(similarity: float, a: str = "a_", b: str = "b_") -> Column:
+    """Whether sizes and sketches of two sets allow the similarity. Sketches err for one in 200 pairs just at the limit, ever fewer beyond."""
+    sizes = F.least(f"{a}n", f"{b}n") >= similarity * F.greatest(f"{a}n", f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCHES), F.lit(0))
+    slack = SKETCH_SLACK if similarity >= SIMILARITY else SKETCH * ((1 - similarity) / 2 + 0.05)
+    return sizes & (apart <= slack)
+
+
+def marked(df: DataFrame, sets: DataFrame, column: str, prefix: str) -> DataFrame:
+    """``df`` with size and sketch of the set that ``column`` names."""
+    names = ["n", *SKETCHES]
+    return df.join(sets.select(F.col("rep").alias(column), *[F.col(c).alias(prefix + c) for c in names]), column)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingle sets are similar enough.
 
-    Sizes come first, by which most of the dissimilar pairs go; the set of b
-    moves to a's, and a document of many pairs is one row on its side.
+    Sizes and sketches come first, by which most of the dissimilar pairs go; the
+    set of b moves to a's, and a document of many pairs is one row on its side.
     """
-    sizes = sets.select("rep", "n")
-    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    held = sized.join(sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")), "a")
+    likely = marked(marked(pairs, sets, "a", "a_"), sets, "b", "b_").where(promising(similarity)).select("a", "b", "a_n", "b_n")
+    held = likely.join(sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")), "a")
     both = F.size(F.array_intersect("ha", "hb"))
-    return held.where(both >= similarity * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return held.where(both >= similarity * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
 def contested(met: DataFrame) -> DataFrame:
@@ -153,29 +185,30 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     heads = cut(each.groupBy("seed", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")))
     # equal fingerprints are a meeting point too
     alike = each.join(heads.where("n > 1").select("seed", "fp"), ["seed", "fp"]).select((F.col("seed") + seeds).alias("seed"), F.col("fp").alias("at"), "fp", "rep")
-    # at most some 85,000 different fingerprints lie so near to one anchor
+    # at most some 85,000 different fingerprints lie so near to one anchor, so a window serves; texts of one fingerprint may be any number
     here = Window.partitionBy("seed", "at")
-    met = meetings(heads).withColumn("many", F.count("*").over(here)).where("many > 1").drop("many").unionByName(alike)
-    met = cut(met)
-    whole = known.join(met.select("rep").distinct(), known.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    at_anchors = meetings(heads).withColumns({"hub": F.min("rep").over(here), "hub_fp": F.min_by("fp", "rep").over(here), "last": F.max("rep").over(here)}).where("hub < last").drop("last")
+    held = cut(at_anchors.unionByName(contested(alike)))
+    whole = known.join(held.select("rep").distinct(), known.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = cut(shingle_sets(whole, width))
-    held = cut(contested(met))
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     links, rest = None, held
-    for _ in range(stars):
+    for step in range(stars):
+        if step:
+            # the next round has what was not absorbed, without the hubs of the one before
+            rest = cut(contested(rest.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep").join(absorbed, "rep", "left_anti")))
+            if rest.isEmpty():
+                break
         hubs = rest.where((F.col("rep") > F.col("hub")) & near(F.col("fp"), F.col("hub_fp"))).select(*pair("hub", "rep"))
         found = cut(verified(hubs.distinct(), sets, similarity))
         links = found if links is None else links.unionByName(found)
         absorbed = links.select(F.col("b").alias("rep")).distinct()
-        # the next round has what was not absorbed, without the hubs of this one
-        left = rest.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep").join(absorbed, "rep", "left_anti")
-        rest = cut(contested(left))
-        if rest.isEmpty():
-            break
     # what no hub absorbed meets all others, absorbed ones too; only the first hubs have met all there are already
-    y = held.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep")
-    x = y.join(absorbed, "rep", "left_anti").toDF("rep_", "seed", "at", "fp_")
-    pairs = x.join(y, ["seed", "at"]).where((F.col("rep") != F.col("rep_")) & near(F.col("fp"), F.col("fp_"))).select(*pair("rep", "rep_"))
+    rows = held.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep")
+    x = marked(rows.join(absorbed, "rep", "left_anti").select("seed", "at", F.col("fp").alias("fp_"), F.col("rep").alias("rep_")), sets, "rep_", "a_")
+    y = marked(rows, sets, "rep", "b_")
+    # sketches are compared in the join, so pairs that merely meet never become rows
+    pairs = x.join(y, ["seed", "at"]).where((F.col("rep") != F.col("rep_")) & near(F.col("fp"), F.col("fp_")) & promising(similarity)).select(*pair("rep", "rep_"))
     links = links.unionByName(cut(verified(pairs.distinct(), sets, similarity)))
     roots = components(links)
     named = texts.join(roots, texts.rep == roots.node, "left").where("n > 1 or root is not null").select("copy", F.coalesce("root", "rep").alias("class_id"))

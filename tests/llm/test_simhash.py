@@ -118,6 +118,16 @@ def test_a_group_of_copies_costs_its_size(spark, monkeypatch):
     assert {r.class_id for r in got} == {0} and sum(seen) < 20 * len(texts)
 
 
+def test_sketches_tell_similarity():
+    rng = np.random.default_rng(11)
+    apart = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(near_copies.sketch(x).view(np.uint64), near_copies.sketch(y).view(np.uint64)))
+    for similarity, low, high in ((1.0, 0, 0), (0.9, 5, 22), (0.8, 12, near_copies.SKETCH_SLACK), (0.5, near_copies.SKETCH_SLACK + 1, 90), (0.0, 100, 156)):
+        for n in (60, 3000):
+            both = round(2 * n * similarity / (1 + similarity))
+            own = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64) * np.uint64(2)
+            assert low <= apart(own[:n], np.concatenate([own[:both], own[n:]])) <= high
+
+
 def test_near_copies_one_round_is_enough_for_the_same_classes(spark):
     docs = plain.documents(spark, corpus(6))
     assert plain.rows(near_copies.classes(docs, stars=1)) == plain.rows(near_copies.classes(docs, stars=4))
