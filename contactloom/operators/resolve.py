@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,27 +172,31 @@ def upsert(leads: DataFrame, incoming: DataFrame, update_existing: bool = True,
     fields = [f for f in alone.schema.fields if f.name not in ("size_",)]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
-    def run(group):
-        import pandas as pd
-
-        rows_ = group.sort_values("node", kind="stable").to_dict("records")
-        for r in rows_:
-            for k, v in r.items():
-                if v is None or v is pd.NaT or isinstance(v, float) and v != v:
-                    r[k] = None
-                elif k in ("phone_numbers", "emails", "addresses", "industry_tags"):
-                    r[k] = list(v)
-                elif k == "social_media_links":
-                    r[k] = dict(v)
-            r["order_"] = (0, r["id"])
-        out, *_ = fold(rows_, update_existing)
-        for r in out:
-            r["action"] = "insert" if r["id"] is None else "update" if r.get("updated_") else "keep"
-        frame = pd.DataFrame(out, columns=[f.name for f in fields])
-        return frame.astype({"id": "Int64", "seq": "Int64"})
-
-    met = placed.where("size_ > 1").drop("size_").withColumn("action", F.lit(None).cast("string")).select(*[f.name for f in fields]).groupBy("block").applyInPandas(run, schema)
-    all_ = alone.drop("size_").unionByName(met)
+    def run(batches):
+        import pyarrow as pa
+
+        form = None
+
+        def rows_in():
+            nonlocal form
+            for batch in batches:
+                form = batch.schema
+                yield from batch.to_pylist()
+
+        out = []
+        # blocks come one after another, each of them whole
+        for _, block in groupby(rows_in(), key=lambda r: r["block"]):
+            folded, *_ = fold([r | {"order_": (0, r["id"])} for r in block], update_existing)
+            out += [r | {"action": "insert" if r["id"] is None else "update" if r.get("updated_") else "keep"} for r in folded]
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_pylist(out, schema=form)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=form)
+
+    together = placed.where("size_ > 1").drop("size_").withColumn("action", F.lit(None).cast("string")).select(*[f.name for f in fields])
+    met = together.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, schema)
+    all_ = cut(alone.drop("size_").unionByName(met))
     return _numbered(all_, leads).select(
         "id", *DATA_COLUMNS,
         F.when(F.col("action") == "insert", now).otherwise(F.col("created_at")).alias("created_at"),
