@@ -9,15 +9,20 @@ bits at most are candidates. They meet at the anchors of a covering code, the
 product of three Hamming codes (2^33 anchors), as in ``simhash``.
 
 Candidates are verified on their whole shingle sets, after a sketch of the sets
-has ruled out most of the dissimilar, so fingerprints and sketches decide only
-what is compared. Equal texts and equal fingerprints are grouped first,
-which bounds the fingerprints that can meet at one anchor by a constant. Then
-every meeting point's least document, its hub, is compared with the others
-there; what is similar to it is absorbed, and the point's next round has the
-rest. After ``STARS`` such rounds every text that no hub absorbed is compared
-with all it meets. Only pairs of texts that are both absorbed already are left
-out, so a group of copies costs its size, not the square of it, and a text that
-stays is similar to none that it has met, unless that one joined its class.
+has ruled out most of the dissimilar. Equal texts and equal fingerprints are
+grouped first, which bounds the fingerprints that can meet at one anchor by a
+constant. Every meeting point's least document, its hub, is compared with the
+others there; what is similar to it is absorbed, and the point's next round has
+the rest.
+
+Fingerprints miss copies in which a part is added or replaced, and one text
+stands for all of its fingerprint there. So they only begin the classes, and a
+prefix filter ends them: with all shingles in one order, rare ones first, two
+sets of a similarity of 0.8 or more share one of the first n - ceil(0.8 n) + 1
+shingles of each, whatever the edit. Every distinct text meets at these. Where
+texts of several classes meet, the one that meets most is compared with the
+others, and then every two of different classes. Only pairs of one class are
+left out, so classes are those of all similar pairs, but for what sketches lose.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ WIDTH, SIMILARITY = 5, 0.8
 SEEDS, THRESHOLD, STARS = 6, 2, 2
 #: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 26 +- 5.
 SKETCH, SKETCH_SLACK = 256, 38
+#: Texts that say which shingles are common, about; shingles that count as such, at most. They only set the order of shingles.
+SAMPLED, COMMON = 10_000, 50_000
 #: length, generator polynomial, covering radius of each block, low bits first.
 BLOCKS = ((15, 0b10011, 1),) * 3
 BITS = sum(b[0] for b in BLOCKS)
@@ -131,6 +138,53 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"rep long, n long, {', '.join(f'{c} long' for c in SKETCHES)}, held array<long>")
 
 
+def common(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that most texts of a sample have, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // SAMPLED))) == 0).select("text")
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    return h[np.argsort(h)], n[np.argsort(h)]
+
+
+def first_shingles(held: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set of n shingles the first n - ceil(similarity n) + 1, the rare before the common."""
+    if not len(held):
+        return held
+    n = np.zeros(len(held), np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], held), len(often[0]) - 1)
+        n = np.where(often[0][at] == held, often[1][at], 0)
+    most = len(held) - int(np.ceil(similarity * len(held) - 1e-9)) + 1
+    return held[np.lexsort((held, n))[:most]]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(doc_id, firsts)`` for every row of ``docs(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), texts_of(batch.column(1))
+            for part in by_bytes([], [len(t) for t in texts]):
+                found = [first_shingles(np.unique(np.array(shingle_hashes(t, width), np.uint64)), similarity, often).view(np.int64) for t in texts[part]]
+                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "firsts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, firsts array<long>")
+
+
+def divided(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(at, rep, root, main)``: rows of ``met(at, rep)`` at points where texts of several classes meet, their class and the point's largest."""
+    own = met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("at", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = own.groupBy("at", "root").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("at").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("at", "main")
+    return own.join(several, "at")
+
+
 def near(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= threshold
 
@@ -189,7 +243,12 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     here = Window.partitionBy("seed", "at")
     at_anchors = meetings(heads).withColumns({"hub": F.min("rep").over(here), "hub_fp": F.min_by("fp", "rep").over(here), "last": F.max("rep").over(here)}).where("hub < last").drop("last")
     held = cut(at_anchors.unionByName(contested(alike)))
-    whole = known.join(held.select("rep").distinct(), known.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    often = common(known, width, seen.count())
+    firsts = prefixes(known, width, similarity, often).join(worded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    met = cut(firsts.select(F.col("doc_id").alias("rep"), F.explode("firsts").alias("at")))
+    shared = met.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
+    met = cut(met.join(shared, "at"))
+    whole = known.join(held.select("rep").unionByName(met.select("rep")).distinct(), known.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = cut(shingle_sets(whole, width))
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     links, rest = None, held
@@ -203,12 +262,17 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
         found = cut(verified(hubs.distinct(), sets, similarity))
         links = found if links is None else links.unionByName(found)
         absorbed = links.select(F.col("b").alias("rep")).distinct()
-    # what no hub absorbed meets all others, absorbed ones too; only the first hubs have met all there are already
-    rows = held.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep")
-    x = marked(rows.join(absorbed, "rep", "left_anti").select("seed", "at", F.col("fp").alias("fp_"), F.col("rep").alias("rep_")), sets, "rep_", "a_")
-    y = marked(rows, sets, "rep", "b_")
+    # the fingerprints' classes are a beginning; where several meet at a shingle, the text that meets most is compared first: copies of it share its shingles
+    rows = cut(divided(met, cut(components(links))))
+    busy = rows.groupBy("rep").agg(F.count("*").alias("n"))
+    hubs = rows.join(busy, "rep").groupBy("at").agg(F.max_by(F.struct("rep", "root"), F.struct("n", -F.col("rep"))).alias("hub"))
+    found = rows.join(hubs, "at").where("root != hub.root").select(*pair("rep", "hub.rep"))
+    links = links.unionByName(cut(verified(found.distinct(), sets, similarity)))
+    rows = cut(divided(rows.select("at", "rep"), cut(components(links))))
+    x = marked(rows.where("root != main").select("at", F.col("rep").alias("rep_"), F.col("root").alias("root_")), sets, "rep_", "a_")
+    y = marked(rows.select("at", "rep", "root"), sets, "rep", "b_")
     # sketches are compared in the join, so pairs that merely meet never become rows
-    pairs = x.join(y, ["seed", "at"]).where((F.col("rep") != F.col("rep_")) & near(F.col("fp"), F.col("fp_")) & promising(similarity)).select(*pair("rep", "rep_"))
+    pairs = x.join(y, "at").where((F.col("root") != F.col("root_")) & promising(similarity)).select(*pair("rep", "rep_"))
     links = links.unionByName(cut(verified(pairs.distinct(), sets, similarity)))
     roots = components(links)
     named = texts.join(roots, texts.rep == roots.node, "left").where("n > 1 or root is not null").select("copy", F.coalesce("root", "rep").alias("class_id"))

@@ -133,6 +133,22 @@ def test_near_copies_one_round_is_enough_for_the_same_classes(spark):
     assert plain.rows(near_copies.classes(docs, stars=1)) == plain.rows(near_copies.classes(docs, stars=4))
 
 
+def test_near_copies_behind_another_text_of_their_fingerprints(spark):
+    """A text of the same words in another order, and a lesser id, stands for no one else's shingles."""
+    rng = random.Random(12)
+    texts = []
+    while len(texts) < 30:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(base)
+        for k in range(20, 26):
+            copy[k] = f"y{rng.randrange(10**6)}"
+        apart = [(int(a[0]) ^ int(a[1])).bit_count() for a in near_copies.word_prints([" ".join(base), " ".join(copy)])[1]]
+        if 0 not in apart and min(apart) <= near_copies.THRESHOLD:
+            texts += [" ".join(rng.sample(base, 300)), " ".join(copy), " ".join(base)]
+    got = {r.doc_id: r.class_id for r in near_copies.classes(plain.documents(spark, texts)).collect()}
+    assert got == {k: k - (k % 3 == 2) for k in range(len(texts))}
+
+
 @pytest.mark.skipif(not plain.have_data(), reason="the driver's tables are not here")
 def test_query_against_all_pairs(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{plain.SMALL}/documents.parquet").collect()}
