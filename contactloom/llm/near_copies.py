@@ -46,7 +46,9 @@ SEEDS, THRESHOLD, STARS = 6, 2, 2
 #: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 26 +- 5.
 SKETCH, SKETCH_SLACK = 256, 38
 #: Texts that say which shingles are common, about; shingles that count as such, at most. They only set the order of shingles.
-SAMPLED, COMMON = 10_000, 50_000
+SAMPLED, COMMON = 4_000, 50_000
+#: Pairs that are broadcast to the shingle sets, at most: 32 bytes each.
+FEW = 100_000
 #: length, generator polynomial, covering radius of each block, low bits first.
 BLOCKS = ((15, 0b10011, 1),) * 3
 BITS = sum(b[0] for b in BLOCKS)
@@ -209,8 +211,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     Sizes and sketches come first, by which most of the dissimilar pairs go; the
     set of b moves to a's, and a document of many pairs is one row on its side.
     """
-    likely = marked(marked(pairs, sets, "a", "a_"), sets, "b", "b_").where(promising(similarity)).select("a", "b", "a_n", "b_n")
-    held = likely.join(sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")), "a")
+    likely = cut(marked(marked(pairs, sets, "a", "a_"), sets, "b", "b_").where(promising(similarity)).select("a", "b", "a_n", "b_n"))
+    if likely.count() <= FEW:
+        # few pairs go to the sets, so that only the sets of pairs are shuffled
+        ha = sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")).join(F.broadcast(likely), "a")
+        hb = sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")).join(F.broadcast(likely.select("a", "b")), "b")
+        held = ha.join(hb, ["a", "b"])
+    else:
+        held = likely.join(sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")), "a")
     both = F.size(F.array_intersect("ha", "hb"))
     return held.where(both >= similarity * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 

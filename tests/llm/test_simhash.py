@@ -149,6 +149,28 @@ def test_near_copies_behind_another_text_of_their_fingerprints(spark):
     assert got == {k: k - (k % 3 == 2) for k in range(len(texts))}
 
 
+def test_near_copies_by_kind_of_edit(spark):
+    """Pairs of a similarity of 0.80 to 0.85, whatever was edited."""
+    rng = random.Random(13)
+    new = lambda n: [f"y{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        copy = list(base)
+        if k % 3 == 0:
+            copy += new(80)
+        elif k % 3 == 1:
+            copy[100:138] = new(38)
+        else:
+            for at in range(10, 400, 50):
+                copy[at] = new(1)[0]
+        texts += [" ".join(base), " ".join(copy)]
+        assert 0.80 <= plain.jaccard(*texts[-2:]) < 0.85
+    got = {r.doc_id: r.class_id for r in near_copies.classes(plain.documents(spark, texts)).collect()}
+    found = [sum(got[2 * k + 1] == 2 * k for k in range(kind, 60, 3)) for kind in range(3)]
+    assert min(found) >= 19, found
+
+
 @pytest.mark.skipif(not plain.have_data(), reason="the driver's tables are not here")
 def test_query_against_all_pairs(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{plain.SMALL}/documents.parquet").collect()}
