@@ -1,28 +1,27 @@
-"""Near copies: word-set fingerprints that meet at anchors, verified on shingles.
+"""Near copies: word-set fingerprints that meet at anchors, verified on shingles, and a prefix filter for the rest.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. A fingerprint over all shingles moves too far for
 that (up to 11 of 64 bits between such texts), one over the set of words far
-less. So every text gets several short fingerprints of its word set, each of
-45 bits by a hash of its own, and texts of which one fingerprint differs by two
-bits at most are candidates. They meet at the anchors of a covering code, the
-product of three Hamming codes (2^33 anchors), as in ``simhash``.
+less. So every text gets a few short fingerprints of its word set, each of 45
+bits by a hash of its own, and texts of which one fingerprint differs by two
+bits at most meet at the anchors of a covering code, the product of three
+Hamming codes (2^33 anchors), as in ``simhash``. Every meeting point's least
+document, its hub, is compared with the others there: one pair a row, so the
+work is in proportion to the rows, however large a group is.
+
+Fingerprints begin the classes; a prefix filter ends them. With all shingles in
+one order, rare ones first, two sets of n and m shingles that share o or more
+share one of the first n - o + 1 of the one and the first m - o + 1 of the
+other. For a similarity of 0.8 or more, o is at least 4/9 (n + m), whatever the
+edit. Every distinct text meets the others at these shingles. Where texts of
+several classes meet, the one with the least share of rarer shingles is compared
+with the others; then every two of different classes whose sizes, places in the
+order and parities allow the similarity. Pairs within a class need no
+comparison, so the classes are those of all similar pairs.
 
 Candidates are verified on their whole shingle sets, after a sketch of the sets
-has ruled out most of the dissimilar. Equal texts and equal fingerprints are
-grouped first, which bounds the fingerprints that can meet at one anchor by a
-constant. Every meeting point's least document, its hub, is compared with the
-others there; what is similar to it is absorbed, and the point's next round has
-the rest.
-
-Fingerprints miss copies in which a part is added or replaced, and one text
-stands for all of its fingerprint there. So they only begin the classes, and a
-prefix filter ends them: with all shingles in one order, rare ones first, two
-sets of a similarity of 0.8 or more share one of the first n - ceil(0.8 n) + 1
-shingles of each, whatever the edit. Every distinct text meets at these. Where
-texts of several classes meet, the one that meets most is compared with the
-others, and then every two of different classes. Only pairs of one class are
-left out, so classes are those of all similar pairs, but for what sketches lose.
+has ruled out most of the dissimilar (see ``promising`` for what that may lose).
 """
 
 from __future__ import annotations
@@ -41,11 +40,13 @@ from contactloom.llm.components import components
 from contactloom.llm.simhash import Code, majority, near_anchors, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints of a text; bits that may differ; rounds of comparison with an anchor's least document.
-SEEDS, THRESHOLD, STARS = 6, 2, 2
-#: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 26 +- 5.
-SKETCH, SKETCH_SLACK = 256, 38
-#: Texts that say which shingles are common, about; shingles that count as such, at most. They only set the order of shingles.
+#: Fingerprints of a text; bits that may differ; rounds of comparison with a meeting point's hub.
+SEEDS, THRESHOLD, ROUNDS = 2, 2, 1
+#: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 25.6 +- 4.8.
+SKETCH, SKETCH_SLACK = 256, 46
+#: Bits of a set's parities.
+PARITY = 1024
+#: Texts that say which shingles are common, about; shingles that count as such, at most. They only set the order of shingles; any order gives the same classes.
 SAMPLED, COMMON = 4_000, 50_000
 #: Pairs that are broadcast to the shingle sets, at most: 32 bytes each.
 FEW = 100_000
@@ -123,21 +124,31 @@ def sketch(held: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-SKETCHES = [f"s{k}" for k in range(SKETCH // 64)]
+def parities(held: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's elements fall on each of PARITY places, packed into longs.
+
+    Two sets differ in no more of these than in elements, so the bound loses nothing.
+    """
+    places = np.bincount((held >> np.uint64(11) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.int64)
+
+
+SKETCHES, PARITIES = [f"s{k}" for k in range(SKETCH // 64)], [f"p{k}" for k in range(PARITY // 64)]
+MARKS = SKETCHES + PARITIES
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(rep, n, s0, s1, .., held)``: the distinct shingles of ``docs(rep, text)`` as hashes, their number and their sketch."""
+    """``(rep, n, s0, .., p0, .., held)``: the distinct shingles of ``docs(rep, text)`` as hashes, their number, sketch and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for part in by_bytes([], [len(t) for t in texts]):
                 found = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts[part]]
-                bits = np.array([sketch(x) for x in found], np.int64).reshape(-1, len(SKETCHES)).T
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *map(pa.array, bits), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "n", *SKETCHES, "held"])
+                bits = np.array([np.concatenate([sketch(x), parities(x)]) for x in found], np.int64).reshape(-1, len(MARKS)).T
+                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *map(pa.array, bits), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "n", *MARKS, "held"])
 
-    return docs.mapInArrow(run, f"rep long, n long, {', '.join(f'{c} long' for c in SKETCHES)}, held array<long>")
+    return docs.mapInArrow(run, f"rep long, n long, {', '.join(f'{c} long' for c in MARKS)}, held array<long>")
 
 
 def common(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,23 +178,46 @@ def first_shingles(held: np.ndarray, similarity: float, often: tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(doc_id, firsts)`` for every row of ``docs(doc_id, text)``."""
+    """``(rep, n, firsts)`` for every row of ``docs(doc_id, text)``: the number of its shingles, and the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for part in by_bytes([], [len(t) for t in texts]):
-                found = [first_shingles(np.unique(np.array(shingle_hashes(t, width), np.uint64)), similarity, often).view(np.int64) for t in texts[part]]
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "firsts"])
+                held = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts[part]]
+                found = [first_shingles(x, similarity, often).view(np.int64) for x in held]
+                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in held], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rep", "n", "firsts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, firsts array<long>")
+
+
+def least_shared(n: Column, m: Column, similarity: float) -> Column:
+    """What two sets of n and m elements share at least if they are that similar."""
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, firsts array<long>")
+
+def in_reach(n: Column, pos: Column, m: Column, at: Column, similarity: float) -> Column:
+    """Whether an element at place ``pos`` of n and ``at`` of m (from 0) may be the first that two so similar sets share."""
+    o = least_shared(n, m, similarity)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (pos <= n - o) & (at <= m - o)
+
+
+def points(firsts: DataFrame, similarity: float) -> DataFrame:
+    """``(at, rep, n, pos)`` of ``firsts(rep, n, firsts)`` at shingles where two texts meet or more.
+
+    Of two texts the smaller has the shingle among its first n - 8/9 n + 1; points without such a row are no use.
+    """
+    each = firsts.select("rep", "n", F.posexplode("firsts").alias("pos", "at"))
+    reach = F.col("pos") <= F.col("n") - least_shared(F.col("n"), F.col("n"), similarity)
+    shared = each.groupBy("at").agg(F.count("*").alias("k"), F.max(reach).alias("reach")).where("k > 1 and reach").select("at")
+    return each.join(shared, "at")
 
 
 def divided(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(at, rep, root, main)``: rows of ``met(at, rep)`` at points where texts of several classes meet, their class and the point's largest."""
-    own = met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("at", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = own.groupBy("at", "root").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("at").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("at", "main")
+    """Rows of ``met(at, rep, ..)`` at points where texts of several classes meet, with their class and the point's largest."""
+    own = met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = own.groupBy("at", "root").agg(F.count("*").alias("k"))
+    several = sizes.groupBy("at").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("at", "main")
     return own.join(several, "at")
 
 
@@ -192,16 +226,17 @@ def near(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
 
 
 def promising(similarity: float, a: str = "a_", b: str = "b_") -> Column:
-    """Whether sizes and sketches of two sets allow the similarity. Sketches err for one in 200 pairs just at the limit, ever fewer beyond."""
-    sizes = F.least(f"{a}n", f"{b}n") >= similarity * F.greatest(f"{a}n", f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCHES), F.lit(0))
-    slack = SKETCH_SLACK if similarity >= SIMILARITY else SKETCH * ((1 - similarity) / 2 + 0.05)
-    return sizes & (apart <= slack)
+    """Whether sizes, parities and sketches of two sets allow the similarity. Only sketches err, for one in 50,000 pairs just at the limit, ever fewer beyond."""
+    sizes = F.least(f"{a}n", f"{b}n") >= similarity * F.greatest(f"{a}n", f"{b}n") - 1e-9
+    apart, odd = (sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in names), F.lit(0)) for names in (SKETCHES, PARITIES))
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    slack = SKETCH_SLACK if similarity >= SIMILARITY else SKETCH * ((1 - similarity) / 2 + 0.08)
+    return sizes & (odd <= n + m - 2 * least_shared(n, m, similarity)) & (apart <= slack)
 
 
 def marked(df: DataFrame, sets: DataFrame, column: str, prefix: str) -> DataFrame:
-    """``df`` with size and sketch of the set that ``column`` names."""
-    names = ["n", *SKETCHES]
+    """``df`` with size, sketch and parities of the set that ``column`` names."""
+    names = ["n", *MARKS]
     return df.join(sets.select(F.col("rep").alias(column), *[F.col(c).alias(prefix + c) for c in names]), column)
 
 
@@ -223,13 +258,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return held.where(both >= similarity * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def contested(met: DataFrame) -> DataFrame:
-    """Rows of ``met(seed, at, fp, rep)`` that are not alone at their meeting point, with the least document there and its fingerprint."""
-    hubs = met.groupBy("seed", "at").agg(F.min("rep").alias("hub"), F.min_by("fp", "rep").alias("hub_fp"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    return met.join(hubs, ["seed", "at"])
+def star_pairs(worded: DataFrame, seeds: int) -> DataFrame:
+    """``(a, b)``: at every anchor and every shared fingerprint of ``worded(rep, f0, ..)``, the least document with each other one near it."""
+    each = worded.select("rep", F.posexplode(F.array(*[f"f{s}" for s in range(seeds)])).alias("seed", "fp"))
+    heads = cut(each.groupBy("seed", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("k")))
+    alike = each.join(heads.where("k > 1").select("seed", "fp", F.col("rep").alias("a")), ["seed", "fp"]).where("rep > a").select("a", F.col("rep").alias("b"))
+    # at most some 85,000 different fingerprints lie so near to one anchor, so a window serves
+    here = Window.partitionBy("seed", "at")
+    met = meetings(heads).withColumns({"hub": F.min("rep").over(here), "hub_fp": F.min_by("fp", "rep").over(here)})
+    return met.where((F.col("rep") > F.col("hub")) & near(F.col("fp"), F.col("hub_fp"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(alike).distinct()
 
 
-def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, seeds: int = SEEDS, stars: int = STARS) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, class_id)`` for the rows of ``docs(doc_id, text)`` that have an id: the least doc_id that similar pairs lead to.
 
     Null texts count as empty. Texts without a word, and texts of the same
@@ -239,51 +279,38 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     """
     known = docs.where("doc_id is not null")
     seen = cut(prints(known, seeds))
-    columns = [f"f{s}" for s in range(seeds)]
-    texts = cut(seen.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in columns]))
+    texts = cut(seen.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"), *[F.min(f"f{s}").alias(f"f{s}") for s in range(seeds)]))
     # texts without a word have no fingerprint to meet by
     worded = texts.where(F.col("copy") != F.lit(xxhash.xxh3_128_digest(b"")))
-    each = worded.select("rep", F.posexplode(F.array(*columns)).alias("seed", "fp"))
-    heads = cut(each.groupBy("seed", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")))
-    # equal fingerprints are a meeting point too
-    alike = each.join(heads.where("n > 1").select("seed", "fp"), ["seed", "fp"]).select((F.col("seed") + seeds).alias("seed"), F.col("fp").alias("at"), "fp", "rep")
-    # at most some 85,000 different fingerprints lie so near to one anchor, so a window serves; texts of one fingerprint may be any number
-    here = Window.partitionBy("seed", "at")
-    at_anchors = meetings(heads).withColumns({"hub": F.min("rep").over(here), "hub_fp": F.min_by("fp", "rep").over(here), "last": F.max("rep").over(here)}).where("hub < last").drop("last")
-    held = cut(at_anchors.unionByName(contested(alike)))
+    near_hubs = cut(star_pairs(worded, seeds))
     often = common(known, width, seen.count())
-    firsts = prefixes(known, width, similarity, often).join(worded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    met = cut(firsts.select(F.col("doc_id").alias("rep"), F.explode("firsts").alias("at")))
-    shared = met.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
-    met = cut(met.join(shared, "at"))
-    whole = known.join(held.select("rep").unionByName(met.select("rep")).distinct(), known.doc_id == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = cut(shingle_sets(whole, width))
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    links, rest = None, held
-    for step in range(stars):
-        if step:
-            # the next round has what was not absorbed, without the hubs of the one before
-            rest = cut(contested(rest.where(F.col("rep") > F.col("hub")).select("seed", "at", "fp", "rep").join(absorbed, "rep", "left_anti")))
-            if rest.isEmpty():
-                break
-        hubs = rest.where((F.col("rep") > F.col("hub")) & near(F.col("fp"), F.col("hub_fp"))).select(*pair("hub", "rep"))
-        found = cut(verified(hubs.distinct(), sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        absorbed = links.select(F.col("b").alias("rep")).distinct()
-    # the fingerprints' classes are a beginning; where several meet at a shingle, the text that meets most is compared first: copies of it share its shingles
+    distinct = known.join(worded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    met = cut(points(cut(prefixes(distinct, width, similarity, often)), similarity))
+    needed = near_hubs.select(F.col("a").alias("rep")).unionByName(near_hubs.select(F.col("b").alias("rep"))).unionByName(met.select("rep")).distinct()
+    sets = cut(shingle_sets(known.join(needed, known.doc_id == needed.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text"), width))
+    links = cut(verified(near_hubs, sets, similarity))
+    for step in range(rounds):
+        # the text with the least share of rarer shingles is nearest to what the others were made from, so most of them link to it
+        rows = cut(divided(met, cut(components(links))))
+        if rows.isEmpty():
+            break
+        met = rows.drop("root", "main")
+        # the first round takes it of all, later ones of those that the largest class doesn't hold
+        able = rows if not step else rows.where("root != main")
+        hubs = able.groupBy("at").agg(F.min_by(F.struct("rep", "root", "n", "pos"), F.struct(F.col("pos") / F.col("n"), "rep")).alias("hub"))
+        reach = in_reach(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity)
+        found = rows.join(hubs, "at").where((F.col("root") != F.col("hub.root")) & reach)
+        links = links.unionByName(cut(verified(found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), sets, similarity)))
     rows = cut(divided(met, cut(components(links))))
-    busy = rows.groupBy("rep").agg(F.count("*").alias("n"))
-    hubs = rows.join(busy, "rep").groupBy("at").agg(F.max_by(F.struct("rep", "root"), F.struct("n", -F.col("rep"))).alias("hub"))
-    found = rows.join(hubs, "at").where("root != hub.root").select(*pair("rep", "hub.rep"))
-    links = links.unionByName(cut(verified(found.distinct(), sets, similarity)))
-    rows = cut(divided(rows.select("at", "rep"), cut(components(links))))
-    x = marked(rows.where("root != main").select("at", F.col("rep").alias("rep_"), F.col("root").alias("root_")), sets, "rep_", "a_")
-    y = marked(rows.select("at", "rep", "root"), sets, "rep", "b_")
-    # sketches are compared in the join, so pairs that merely meet never become rows
-    pairs = x.join(y, "at").where((F.col("root") != F.col("root_")) & promising(similarity)).select(*pair("rep", "rep_"))
+    x = marked(rows.where("root != main").select("at", F.col("rep").alias("x_rep"), F.col("root").alias("x_root"), F.col("main").alias("x_main"), F.col("pos").alias("x_pos")), sets, "x_rep", "a_")
+    y = marked(rows.select("at", "rep", "root", "pos"), sets, "rep", "b_")
+    # places and sketches are compared in the join, so pairs that merely meet never become rows
+    apart = (F.col("root") == F.col("x_main")) | (F.col("root") != F.col("x_root")) & (F.col("rep") > F.col("x_rep"))
+    reach = in_reach(F.col("a_n"), F.col("x_pos"), F.col("b_n"), F.col("pos"), similarity)
+    pairs = x.join(y, "at").where(apart & reach & promising(similarity)).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
     links = links.unionByName(cut(verified(pairs.distinct(), sets, similarity)))
     roots = components(links)
-    named = texts.join(roots, texts.rep == roots.node, "left").where("n > 1 or root is not null").select("copy", F.coalesce("root", "rep").alias("class_id"))
+    named = texts.join(roots, texts.rep == roots.node, "left").where("k > 1 or root is not null").select("copy", F.coalesce("root", "rep").alias("class_id"))
     return seen.select("doc_id", "copy").join(named, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -92,10 +92,7 @@ def test_near_copies_against_all_pairs(spark):
     pairs = {(a, b) for a in ids for b in range(a + 1, len(texts)) if plain.jaccard(texts[a], texts[b]) >= 0.8}
     true = plain.components(ids, pairs)
     got = {r.doc_id: r.class_id for r in near_copies.classes(docs).collect()}
-    # every class is joined by similar pairs, and few of the pairs are in two classes
-    own = plain.components(ids, {(a, b) for a, b in pairs if got[a] == got[b]})
-    assert got == own and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
-    assert len(pairs) > 60 and sum(got[i] != true[i] for i in ids) <= 2
+    assert len(pairs) > 60 and got == true
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got.values()) | {None}
     assert near_copies.keep_one(docs.limit(0)).count() == 0
@@ -128,9 +125,9 @@ def test_sketches_tell_similarity():
             assert low <= apart(own[:n], np.concatenate([own[:both], own[n:]])) <= high
 
 
-def test_near_copies_one_round_is_enough_for_the_same_classes(spark):
+def test_near_copies_rounds_do_not_change_the_classes(spark):
     docs = plain.documents(spark, corpus(6))
-    assert plain.rows(near_copies.classes(docs, stars=1)) == plain.rows(near_copies.classes(docs, stars=4))
+    assert plain.rows(near_copies.classes(docs, rounds=0)) == plain.rows(near_copies.classes(docs, rounds=4))
 
 
 def test_near_copies_behind_another_text_of_their_fingerprints(spark):
