@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that are done with.
+
+    Spark drops them when the driver's collector finds their plans, which on a
+    large heap may take half an hour, while a job of many steps fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(c, UPPER, LOWER)

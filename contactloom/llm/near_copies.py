@@ -20,8 +20,9 @@ with the others; then every two of different classes whose sizes, places in the
 order and parities allow the similarity. Pairs within a class need no
 comparison, so the classes are those of all similar pairs.
 
-Candidates are verified on their whole shingle sets, after a sketch of the sets
-has ruled out most of the dissimilar (see ``promising`` for what that may lose).
+Candidates are verified on their whole shingle sets, after parities and a sketch
+of the sets have ruled out most of the dissimilar (see ``promising`` for what
+that may lose).
 """
 
 from __future__ import annotations
@@ -35,17 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import by_bytes, cut, texts_of
+from contactloom.llm.common import by_bytes, cut, released, stored, texts_of
 from contactloom.llm.components import components
-from contactloom.llm.simhash import Code, majority, near_anchors, shingle_hashes
+from contactloom.llm.simhash import Code, hashes_of, majority, near_anchors, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of a text; bits that may differ; rounds of comparison with a meeting point's hub.
 SEEDS, THRESHOLD, ROUNDS = 2, 2, 1
-#: Bits of the sketch of a shingle set, and how many may differ. Of sets of a similarity of 0.8 a tenth differs, 25.6 +- 4.8.
-SKETCH, SKETCH_SLACK = 256, 46
-#: Bits of a set's parities.
+#: Bits of a shingle's hash that say where texts meet. Those that meet by chance are told apart when they are verified.
+PLACE_BITS = 48
+#: Bits of a set's parities, which rule out pairs of small sets.
 PARITY = 1024
+#: Bits of the sketch of a set, which rules out pairs of large ones; how many may differ; the size from which sets have one.
+#: Of sets of a similarity of 0.8 a tenth differs, 25.6 +- 4.8.
+SKETCH, SKETCH_SLACK, SKETCHED = 256, 46, 1500
 #: Texts that say which shingles are common, about; shingles that count as such, at most. They only set the order of shingles; any order gives the same classes.
 SAMPLED, COMMON = 4_000, 50_000
 #: Pairs that are broadcast to the shingle sets, at most: 32 bytes each.
@@ -70,32 +74,16 @@ def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def word_prints(texts: list[str], seeds: int = SEEDS) -> tuple[list[bytes], list[np.ndarray]]:
-    """Of every text: a digest of its words in order, and its fingerprints, an array for each seed."""
-    digests, hashes, sizes = [], [], []
+def word_prints(texts: list[list[bytes]], seeds: int = SEEDS) -> list[np.ndarray]:
+    """The fingerprints of every text, given as its words: an array for each seed."""
+    hashes, sizes = [], []
     h = xxhash.xxh64_intdigest
-    for t in texts:
-        words = t.encode().lower().split()
-        digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+    for words in texts:
         own = set(words)
         sizes.append(len(own))
         hashes += [h(w) for w in own]
     flat, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-    return digests, [(majority(mixed(flat, s), n) & MASK).view(np.int64) for s in range(seeds)]
-
-
-def prints(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """``(doc_id, copy, f0, f1, ..)`` for every row of ``docs(doc_id, text)``."""
-    names = ["doc_id", "copy", *(f"f{s}" for s in range(seeds))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
-            for part in by_bytes([], [len(t) for t in texts]):
-                digests, found = word_prints(texts[part], seeds)
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array(digests, pa.binary()), *map(pa.array, found)], names)
-
-    return docs.mapInArrow(run, "doc_id long, copy binary, " + ", ".join(f"f{s} long" for s in range(seeds)))
+    return [(majority(mixed(flat, s), n) & MASK).view(np.int64) for s in range(seeds)]
 
 
 def meetings(heads: DataFrame) -> DataFrame:
@@ -113,14 +101,12 @@ def meetings(heads: DataFrame) -> DataFrame:
 
 
 def sketch(held: np.ndarray) -> np.ndarray:
-    """One bit of the least hash of a set under each of SKETCH orders, packed into longs: sets of similarity s differ in (1 - s) / 2 of them."""
-    least = np.full(SKETCH, np.uint64(2**64 - 1))
-    factors, moves = mixed(np.arange(SKETCH, dtype=np.uint64), 101) | np.uint64(1), mixed(np.arange(SKETCH, dtype=np.uint64), 202)
-    for at in range(0, len(held), 1024):
-        x = held[at : at + 1024, None] * factors + moves
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        np.minimum(least, x.min(axis=0), out=least)
+    """One bit of the least hash in each of SKETCH bins of a set, packed into longs; zeros for a small set. Sets of similarity s differ in (1 - s) / 2 of them."""
+    least = np.zeros(SKETCH, np.uint64)
+    if len(held) >= SKETCHED:
+        x = mixed(held, 101)
+        least[:] = np.uint64(2**64 - 1)
+        np.minimum.at(least, (x & np.uint64(SKETCH - 1)).astype(np.int64), x >> np.uint64(8))
     return np.packbits((least >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
@@ -137,18 +123,31 @@ SKETCHES, PARITIES = [f"s{k}" for k in range(SKETCH // 64)], [f"p{k}" for k in r
 MARKS = SKETCHES + PARITIES
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(rep, n, s0, .., p0, .., held)``: the distinct shingles of ``docs(rep, text)`` as hashes, their number, sketch and parities."""
+def prints(docs: DataFrame, width: int, similarity: float, seeds: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """All that is looked at of every row of ``docs(doc_id, text)``.
+
+    ``copy`` is a digest of its words in order, ``f0, ..`` are its fingerprints,
+    ``n, s0, .., p0, .., held`` the number, sketch, parities and (32-bit) hashes
+    of its distinct shingles, ``firsts`` where the first of them meet others.
+    """
+    names = ["doc_id", "copy", *(f"f{s}" for s in range(seeds)), "n", *MARKS, "firsts", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for part in by_bytes([], [len(t) for t in texts]):
-                found = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts[part]]
-                bits = np.array([np.concatenate([sketch(x), parities(x)]) for x in found], np.int64).reshape(-1, len(MARKS)).T
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in found], pa.int64()), *map(pa.array, bits), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "n", *MARKS, "held"])
+                words = [t.encode().lower().split() for t in texts[part]]
+                flat = [b" ".join(w) for w in words]
+                held = [np.unique(np.array(hashes_of(w, f, width), np.uint64)) for w, f in zip(words, flat)]
+                bits = np.array([np.concatenate([sketch(x), parities(x)]) for x in held], np.int64).reshape(-1, len(MARKS)).T
+                firsts = [(first_shingles(x, similarity, often) >> np.uint64(64 - PLACE_BITS)).view(np.int64) for x in held]
+                yield pa.RecordBatch.from_arrays([
+                    ids[part.start : part.stop], pa.array([xxhash.xxh3_128_digest(f) for f in flat], pa.binary()), *map(pa.array, word_prints(words, seeds)),
+                    pa.array([len(x) for x in held], pa.int64()), *map(pa.array, bits), pa.array(firsts, pa.list_(pa.int64())), pa.array([x.astype(np.uint32).view(np.int32) for x in held], pa.list_(pa.int32())),
+                ], names)
 
-    return docs.mapInArrow(run, f"rep long, n long, {', '.join(f'{c} long' for c in MARKS)}, held array<long>")
+    longs = ", ".join(f"{c} long" for c in (*(f"f{s}" for s in range(seeds)), "n", *MARKS))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, copy binary, {longs}, firsts array<long>, held array<int>")
 
 
 def common(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,20 +176,6 @@ def first_shingles(held: np.ndarray, similarity: float, often: tuple[np.ndarray,
     return held[np.lexsort((held, n))[:most]]
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(rep, n, firsts)`` for every row of ``docs(doc_id, text)``: the number of its shingles, and the first of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
-            for part in by_bytes([], [len(t) for t in texts]):
-                held = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts[part]]
-                found = [first_shingles(x, similarity, often).view(np.int64) for x in held]
-                yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], pa.array([len(x) for x in held], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rep", "n", "firsts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, firsts array<long>")
-
-
 def least_shared(n: Column, m: Column, similarity: float) -> Column:
     """What two sets of n and m elements share at least if they are that similar."""
     return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
@@ -231,7 +216,7 @@ def promising(similarity: float, a: str = "a_", b: str = "b_") -> Column:
     apart, odd = (sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in names), F.lit(0)) for names in (SKETCHES, PARITIES))
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     slack = SKETCH_SLACK if similarity >= SIMILARITY else SKETCH * ((1 - similarity) / 2 + 0.08)
-    return sizes & (odd <= n + m - 2 * least_shared(n, m, similarity)) & (apart <= slack)
+    return sizes & (odd <= n + m - 2 * least_shared(n, m, similarity)) & ((F.least(n, m) < SKETCHED) | (apart <= slack))
 
 
 def marked(df: DataFrame, sets: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -278,16 +263,17 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     id count as versions of one document, and come out each.
     """
     known = docs.where("doc_id is not null")
-    seen = cut(prints(known, seeds))
+    often = common(known, width, known.count())
+    # the one pass over the texts; from here on they are looked at by their hashes
+    seen = stored(prints(known, width, similarity, seeds, often))
     texts = cut(seen.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"), *[F.min(f"f{s}").alias(f"f{s}") for s in range(seeds)]))
     # texts without a word have no fingerprint to meet by
     worded = texts.where(F.col("copy") != F.lit(xxhash.xxh3_128_digest(b"")))
     near_hubs = cut(star_pairs(worded, seeds))
-    often = common(known, width, seen.count())
-    distinct = known.join(worded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    met = cut(points(cut(prefixes(distinct, width, similarity, often)), similarity))
-    needed = near_hubs.select(F.col("a").alias("rep")).unionByName(near_hubs.select(F.col("b").alias("rep"))).unionByName(met.select("rep")).distinct()
-    sets = cut(shingle_sets(known.join(needed, known.doc_id == needed.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text"), width))
+    distinct = seen.select("doc_id", "copy", "n", "firsts").join(worded.select(F.col("rep").alias("doc_id"), "copy"), ["doc_id", "copy"], "left_semi")
+    met = cut(points(distinct.select(F.col("doc_id").alias("rep"), "n", "firsts"), similarity))
+    released(docs.sparkSession)
+    sets = seen.select(F.col("doc_id").alias("rep"), "n", *MARKS, "held")
     links = cut(verified(near_hubs, sets, similarity))
     for step in range(rounds):
         # the text with the least share of rarer shingles is nearest to what the others were made from, so most of them link to it
@@ -302,6 +288,7 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
         found = rows.join(hubs, "at").where((F.col("root") != F.col("hub.root")) & reach)
         links = links.unionByName(cut(verified(found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), sets, similarity)))
     rows = cut(divided(met, cut(components(links))))
+    released(docs.sparkSession)
     x = marked(rows.where("root != main").select("at", F.col("rep").alias("x_rep"), F.col("root").alias("x_root"), F.col("main").alias("x_main"), F.col("pos").alias("x_pos")), sets, "x_rep", "a_")
     y = marked(rows.select("at", "rep", "root", "pos"), sets, "rep", "b_")
     # places and sketches are compared in the join, so pairs that merely meet never become rows

@@ -38,12 +38,16 @@ SPREAD = np.uint64(0x0101010101010101)
 def shingle_hashes(text: str, width: int, seed: int = 42) -> list[int]:
     """XXH64 of every shingle of ``width`` words; a shorter text is one shingle."""
     words = text.encode().lower().split()
+    return hashes_of(words, b" ".join(words), width, seed)
+
+
+def hashes_of(words: list[bytes], flat: bytes, width: int, seed: int = 42) -> list[int]:
+    """The same of a text given as words and as words joined by a space."""
     if not words:
         return []
     h = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return [h(b" ".join(words), seed)]
-    flat = b" ".join(words)
+        return [h(flat, seed)]
     ends, at = [], -1
     for w in words:
         at += len(w) + 1

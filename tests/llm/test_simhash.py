@@ -115,14 +115,15 @@ def test_a_group_of_copies_costs_its_size(spark, monkeypatch):
     assert {r.class_id for r in got} == {0} and sum(seen) < 20 * len(texts)
 
 
-def test_sketches_tell_similarity():
+def test_sketches_and_parities_tell_similarity():
+    """Sets of a similarity of 0.8 or more pass; of small ones parities keep most others out, of large ones sketches."""
     rng = np.random.default_rng(11)
-    apart = lambda x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(near_copies.sketch(x).view(np.uint64), near_copies.sketch(y).view(np.uint64)))
-    for similarity, low, high in ((1.0, 0, 0), (0.9, 5, 22), (0.8, 12, near_copies.SKETCH_SLACK), (0.5, near_copies.SKETCH_SLACK + 1, 90), (0.0, 100, 156)):
-        for n in (60, 3000):
+    apart = lambda f, x, y: sum((int(a) ^ int(b)).bit_count() for a, b in zip(f(x).view(np.uint64), f(y).view(np.uint64)))
+    for n, f, bound in ((60, near_copies.parities, 14), (400, near_copies.parities, 90), (3000, near_copies.sketch, near_copies.SKETCH_SLACK), (20_000, near_copies.sketch, near_copies.SKETCH_SLACK)):
+        for similarity in (1.0, 0.9, 0.81, 0.5, 0.3, 0.0):
             both = round(2 * n * similarity / (1 + similarity))
-            own = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64) * np.uint64(2)
-            assert low <= apart(own[:n], np.concatenate([own[:both], own[n:]])) <= high
+            own = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
+            assert (apart(f, own[:n], np.concatenate([own[:both], own[n:]])) <= bound) == (similarity > 0.8), (n, similarity)
 
 
 def test_near_copies_rounds_do_not_change_the_classes(spark):
@@ -139,7 +140,7 @@ def test_near_copies_behind_another_text_of_their_fingerprints(spark):
         copy = list(base)
         for k in range(20, 26):
             copy[k] = f"y{rng.randrange(10**6)}"
-        apart = [(int(a[0]) ^ int(a[1])).bit_count() for a in near_copies.word_prints([" ".join(base), " ".join(copy)])[1]]
+        apart = [(int(a[0]) ^ int(a[1])).bit_count() for a in near_copies.word_prints([[x.encode() for x in w] for w in (base, copy)], 6)]
         if 0 not in apart and min(apart) <= near_copies.THRESHOLD:
             texts += [" ".join(rng.sample(base, 300)), " ".join(copy), " ".join(base)]
     got = {r.doc_id: r.class_id for r in near_copies.classes(plain.documents(spark, texts)).collect()}
