@@ -8,7 +8,7 @@ many paths share it, and findings are joined back to every path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import stored
@@ -22,9 +22,9 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0),
     ("hex", r"[0-9a-f]{32,}", 0),
 )
-#: What the method adds: secrets with a form of their own.
+#: What the method adds: secrets with a form of their own. No pattern repeats a group: Java matches those by recursion, which long texts would exhaust.
 MORE_RULES = (
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
     ("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", 0),
     ("hook_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0),
@@ -33,8 +33,8 @@ RULES = BASE_RULES + MORE_RULES
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least: int) -> Column:
-    """Spans of leftmost non-overlapping matches, in code points.
+def matches(text: Column, pattern: str, kind: int, least: int) -> Column:
+    """Leftmost non-overlapping matches in order: kind, code points since the match before, code points of its own, and whether it counts.
 
     The pieces between matches and the matches themselves alternate, so their
     lengths give every position. ``least`` is on the value of an assignment,
@@ -43,23 +43,22 @@ def spans(text: Column, pattern: str, kind: int, least: int) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
     fit = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda m: F.length(m) >= least) if least else F.transform(hits, lambda m: F.lit(True))
-    steps = F.zip_with(F.arrays_zip(gaps.alias("g"), hits.alias("h")), fit, lambda x, ok: F.struct(x["g"].alias("g"), x["h"].alias("h"), ok.alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["g"]
-        end = begin + x["h"]
-        span = F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e"))
-        return F.struct(F.coalesce(end, begin, state["at"]).alias("at"), F.when(x["h"].isNotNull() & x["ok"], F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    none = F.expr(f"cast(array() as {SPAN})")
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(none)
+    found = F.zip_with(F.arrays_zip(gaps.alias("g"), hits.alias("h")), fit, lambda x, ok: F.struct(F.lit(kind).alias("k"), x["g"].alias("g"), x["h"].alias("h"), ok.alias("ok")))
+    # the piece after the last match has none
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(found, lambda x: x["h"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<k:int,g:int,h:int,ok:boolean>>)"))
 
 
 def scan(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """``(blob, found)`` for ``blobs(blob, text)``: all spans by start, then kind."""
-    per_kind = [spans(F.col("text"), pattern, k, least) for k, (_, pattern, least) in enumerate(rules)]
-    return blobs.select("blob", F.array_sort(F.concat(*per_kind)).alias("found"))
+    """``(blob, found)`` for ``blobs(blob, text)``, a row for each blob: all spans by start, then kind.
+
+    Positions are running sums over a blob's matches, so the work is in
+    proportion to them; a blob without a match is one row.
+    """
+    each = blobs.select("blob", F.posexplode_outer(F.concat(*[matches(F.col("text"), pattern, k, least) for k, (_, pattern, least) in enumerate(rules)])).alias("pos", "x"))
+    end = F.sum(F.col("x.g") + F.col("x.h")).over(Window.partitionBy("blob", "x.k").orderBy("pos")).cast("int")
+    placed = each.select("blob", "x", end.alias("e"))
+    span = F.struct((F.col("e") - F.col("x.h")).alias("s"), F.col("x.k").alias("k"), F.col("e").alias("e"))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("x.ok"), span))).alias("found"))
 
 
 def with_blob(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,7 +87,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: st
 
 
 def findings(docs: DataFrame, ledger: DataFrame, keys: list[str], text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """Every row of ``docs`` as ``keys`` with the spans that the ledger has for its blob, an empty list if none."""
+    """Every row of ``docs`` as ``keys`` with the spans that the ledger, with one row for each blob and rule version, has for its blob, an empty list if none."""
     paths = with_blob(docs.select(*keys, F.col(text_col).alias("text_")), "text_").drop("text_")
     dirty = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found")
     return paths.join(dirty, "blob", "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")))
@@ -112,11 +111,12 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc
     """One row per row of ``docs``: doc_id, the counts, digest and spans of its text.
 
     Null or empty texts have no spans; rows without an id, repeated rows and
-    copies each get the findings of their text; other columns are ignored.
+    copies each get the findings of their text; other columns are ignored. A
+    ledger may name a blob and rule version more than once.
     """
     # a written ledger has a known size, and joins its paths by an exchange of its own, so that a blob with many paths can be split
     new = stored(update_ledger(docs, ledger, text_col))
-    whole = new if ledger is None else ledger.select(new.columns).unionByName(new)
+    whole = new if ledger is None else stored(ledger.select(new.columns).unionByName(new).dropDuplicates(["blob", "rule_version"]))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return findings(slim, whole, ["doc_id"], "text").select("doc_id", *digest(F.col("found")))
 
@@ -127,7 +127,7 @@ rules AS (
   SELECT * FROM (VALUES
     ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
     ('access', 1, 'AKIA[A-Z0-9]{12,}'), ('hex', 2, '[0-9a-f]{32,}'),
-    ('private_key', 3, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'),
+    ('private_key', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----'),
     ('jwt', 4, '\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
     ('forge_token', 5, '\bgh[pousr]_[A-Za-z0-9]{36,}'), ('hook_token', 6, '\bxox[abprs]-[A-Za-z0-9-]{10,}')) AS r(kind, k, pattern)),
 m AS (
