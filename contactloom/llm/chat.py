@@ -17,7 +17,9 @@ of any length is never gathered in one task.
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,12 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import stored
+
 _REF = re.compile(r"\$\{([^{}]+)\}")
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 cannot hold, written as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return escaped(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
 
 
 def violations(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -62,10 +74,17 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(text)
+    return value
+
+
 def loads(text: str) -> object:
-    """The value of a JSON text, or None; texts that nest too deeply or hold NaN are no JSON."""
+    """The value of a JSON text, or None; texts that nest too deeply, or hold NaN or numbers beyond a double, are no JSON."""
     try:
-        return json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        return json.loads(text, parse_constant=_finite, parse_float=_finite)
     except (ValueError, RecursionError):
         return None
 
@@ -81,25 +100,33 @@ def calls_of(value: object) -> list[dict] | None:
         arguments = f.get("arguments", {})
         if isinstance(arguments, str):
             arguments = loads(arguments)
-        found.append({"id": str(x.get("id", "")), "name": str(f.get("name", "")), "arguments": arguments})
+        found.append({"id": escaped(str(x.get("id", ""))), "name": escaped(str(f.get("name", ""))), "arguments": arguments})
     return found
 
 
 def topological(calls: list[dict]) -> tuple[list[dict], bool]:
     """Calls after those they refer to, otherwise in their order; False with the order as it was if they refer in a circle."""
-    ids = {c["id"] for c in calls}
-    needs = [set(_REF.findall(canonical(c["arguments"]))) & ids for c in calls]
-    done: set[str] = set()
-    left, out = list(range(len(calls))), []
-    while left:
-        ready = next((i for i in left if needs[i] <= done), None)
-        if ready is None:
-            return calls, False
-        left.remove(ready)
-        out.append(calls[ready])
-        if all(calls[i]["id"] != calls[ready]["id"] for i in left):
-            done.add(calls[ready]["id"])
-    return out, True
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(calls):
+        places.setdefault(c["id"], []).append(i)
+    needs = [{x for x in _REF.findall(canonical(c["arguments"])) if x in places} for c in calls]
+    waiting: dict[str, list[int]] = {}
+    for i, own in enumerate(needs):
+        for x in own:
+            waiting.setdefault(x, []).append(i)
+    open_ids, missing = {x: len(at) for x, at in places.items()}, [len(own) for own in needs]
+    ready = [i for i, n in enumerate(missing) if not n]
+    out = []
+    while ready:
+        i = heapq.heappop(ready)
+        out.append(calls[i])
+        open_ids[calls[i]["id"]] -= 1
+        if not open_ids[calls[i]["id"]]:
+            for k in waiting.get(calls[i]["id"], ()):
+                missing[k] -= 1
+                if not missing[k]:
+                    heapq.heappush(ready, k)
+    return (out, True) if len(out) == len(calls) else (calls, False)
 
 
 def parsed(role: str | None, text: str | None, schemas: dict) -> tuple[str, list[str], list[str], list[str], str | None]:
@@ -118,9 +145,9 @@ def parsed(role: str | None, text: str | None, schemas: dict) -> tuple[str, list
             else:
                 errors += [f"{c['id']}: {x}" for x in violations(c["arguments"], schemas[c["name"]])]
         message = {"role": role, "content": value.get("content"), "tool_calls": calls}
-        return canonical(message), [c["id"] for c in calls], [c["name"] for c in calls], errors, None
+        return canonical(message), [c["id"] for c in calls], [c["name"] for c in calls], [escaped(x) for x in errors], None
     if role == "tool" and isinstance(value, dict) and "tool_call_id" in value:
-        answered = str(value["tool_call_id"])
+        answered = escaped(str(value["tool_call_id"]))
         return canonical({"role": role, "content": value.get("content"), "tool_call_id": answered}), [], [], [], answered
     return canonical(message), [], [], [], None
 
@@ -149,9 +176,9 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     identifier is used twice, the first call (by turn, then position) owns it;
     every result with it links to that call. Null texts and roles are written
     as null; rows without a conversation have no links; repeated rows come out
-    as often as they went in.
+    as often as they went in. Escapes of lone surrogates stay escapes.
     """
-    said = parse(messages, schemas or {})
+    said = stored(parse(messages, schemas or {}))
     calls = said.where(F.size("call_ids") > 0).select("conv_id", "turn", F.posexplode(F.arrays_zip("call_ids", "call_names")).alias("pos", "c")).select("conv_id", "turn", "pos", F.col("c.call_ids").alias("call_id"), F.col("c.call_names").alias("name"))
     owner = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos", "name")).alias("call"))
     results = said.where("answers is not null").groupBy("conv_id", F.col("answers").alias("call_id")).agg(F.count("*").alias("n"))

@@ -41,6 +41,21 @@ def test_canonical():
     assert chat.loads("NaN") is None and chat.loads("[" * 100_000) is None and chat.loads('{"a":1}') == {"a": 1}
 
 
+def test_long_chains_are_ordered():
+    n = 20_000
+    chain = [{"id": f"c{k}", "arguments": {"q": f"${{c{k + 1}}}" if k + 1 < n else ""}} for k in range(n)]
+    assert [c["id"] for c in chat.topological(chain)[0]] == [f"c{k}" for k in range(n - 1, -1, -1)]
+
+
+def test_what_utf8_and_json_cannot_hold(spark):
+    """Lone surrogates stay escapes, numbers beyond a double are no JSON."""
+    texts = [("assistant", '{"tool_calls": [{"id": "\\ud800", "name": "find", "arguments": {"q": "\\udfff", "\\ud801": 1}}]}'), ("tool", '{"tool_call_id": "\\ud800", "content": "\\ud83d\\ude00 \\ud83d"}'), ("tool", '{"tool_call_id": "c", "content": 1e999}'), ("assistant", calls({"id": "a", "name": "find", "arguments": '{"n": -1e999}'}))]
+    got = {r.turn: r for r in chat.link(spark.createDataFrame([(1, k, *x) for k, x in enumerate(texts)], "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    assert got[1].status == "result" and json.loads(got[1].message)["content"] == "\U0001f600 \ud83d" and r"\ud83d" in got[1].message
+    assert json.loads(got[0].message)["tool_calls"][0]["arguments"] == {"q": "\udfff", "\ud801": 1}
+    assert got[2].status == "plain" and "Infinity" not in got[2].message and got[3].errors == "a: arguments are no JSON"
+
+
 def messages(spark):
     data = [
         (1, 0, "user", "hello"),
