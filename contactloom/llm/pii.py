@@ -114,8 +114,7 @@ def shape(token: str) -> str:
             out.append(f"d{n}" if n <= 5 else "d6-8" if n < 9 else "d9-11" if n < 12 else "d12-15" if n < 16 else f"d{n}" if n <= 19 else "d20+")
         else:
             out.append("A" if upper else "a" if lower else "w" if wide else other)
-    text = "".join(out)
-    return text if len(text) <= 40 else text[:40] + "~"
+    return "".join(out)
 
 
 def plain_shape(token: str) -> str:
@@ -303,8 +302,10 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]]) -> lis
             marked = [bool(_MARK.search(w)) for w in words]
             first, last = stretch[0][0], stretch[-1][1]
             # what stands beyond a stretch is plain or the text's end; its shape is looked up so that features are those of the whole text
-            left = text[:first].rstrip(_SPACE) if first < 400 else text[max(0, first - 400) : first].rstrip(_SPACE)
-            before = [f"s={plain_shape(left[_before(left, len(left)) :])}"] if left else ["s=^"]
+            end = first
+            while end > 0 and text[end - 1] in _SPACE:
+                end -= 1
+            before = [f"s={plain_shape(text[_before(text, end) : end])}"] if end else ["s=^"]
             w = _WORD_AFTER.match(text, last)
             after = [f"s={plain_shape(w.group(1))}"] if w.group(1) else ["s=^"]
             for k, own in enumerate(kinds):
