@@ -9,10 +9,10 @@ found; if none is, a bin is opened. Pieces are taken by falling size.
 
 Bins alike in residual, planes and clusters are interchangeable and are tested
 as one, so a hot source or a large group of copies costs one test a residual,
-not one a bin. Pieces are dealt to shards by a hash of the document, about
-``shard_docs`` documents each whatever the table's size; conflicts only
-concern bins, so every shard packs by itself. Only lengths and hashes are
-shuffled, never texts.
+not one a bin. Pieces are dealt to shards by a hash of document, piece and row,
+about ``shard_pieces`` each whatever the table's size, so neither one long text
+nor many rows of one id fill a shard; conflicts only concern bins, so every
+shard packs by itself. Only lengths and hashes are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.common import ascii_lower, cut, words
 
-CAPACITY, MAX_PER_SOURCE, SHARD_DOCS = 2048, 4, 20_000
+CAPACITY, MAX_PER_SOURCE, SHARD_PIECES = 2048, 4, 20_000
 
 
 def best_fit(pieces: Iterable[tuple[int, object, object]], capacity: int, max_per_source: int) -> list[int]:
@@ -90,23 +90,27 @@ def cluster_key(text: Column) -> Column:
     return F.when(F.size(w) > 0, F.xxhash64(F.array_join(w, " ")))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
     """``(doc_id, piece, start, n_tokens, bin)``: where every stretch of every document is packed.
 
     A token is a word. A document longer than a bin is cut into pieces of the
     capacity and a rest; a null or empty text is one piece of no token. Pieces
     without a source or a cluster conflict with nothing by it. Rows of one id
-    are packed each by itself; rows without an id are dealt by their text.
+    are packed each by itself. Rows alike in id, source, cluster and length, which
+    includes those without an id, are dealt by their place in the table too.
     ``cluster`` may name any duplicate clusters, such as near-duplicate classes.
     """
     if capacity < 1 or max_per_source < 1:
         raise ValueError("capacity and max_per_source must be 1 or more")
     text = F.col(text_col).cast("string")
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (cluster_key(text) if cluster is None else F.xxhash64(cluster)).alias("cluster"), F.size(words(text)).alias("n")))
-    n_shards = max(1, -(-slim.count() // shard_docs))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("int")
-    pieces = slim.withColumn("piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("size"), F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster", F.lit(0))), F.lit(n_shards)).alias("shard"))
+    n_shards = max(1, -(-(slim.agg(F.sum(n_pieces.cast("long"))).first()[0] or 0) // shard_pieces))
+    # rows alike are told apart by their place, which the cut table fixes; others are dealt by what they are, however they are partitioned
+    alike = slim.groupBy("doc_id", "source", "cluster", "n").agg(F.count("*").alias("k")).where("k > 1").drop("k").isEmpty()
+    row = F.lit(0) if alike else F.monotonically_increasing_id()
+    pieces = slim.withColumn("row", row).withColumn("piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
+    pieces = pieces.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("size"), F.pmod(F.xxhash64("doc_id", "cluster", "piece", "row"), F.lit(n_shards)).alias("shard"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable")

@@ -85,8 +85,8 @@ def test_pack(spark):
 
 def test_shards_pack_alone_and_do_not_depend_on_partitions(spark):
     docs = plain.documents(spark, [f"w{i} " * (i % 17) for i in range(300)])
-    one = plain.rows(packing.pack(docs.repartition(7), 20, 3, shard_docs=50))
-    assert one == plain.rows(packing.pack(docs.coalesce(1), 20, 3, shard_docs=50)) and len({r[4] >> 32 for r in one}) > 3
+    one = plain.rows(packing.pack(docs.repartition(7), 20, 3, shard_pieces=50))
+    assert one == plain.rows(packing.pack(docs.coalesce(1), 20, 3, shard_pieces=50)) and len({r[4] >> 32 for r in one}) > 3
 
 
 @pytest.mark.skipif(not plain.have_data(), reason="the driver's tables are not here")
