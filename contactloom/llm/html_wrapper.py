@@ -1,17 +1,21 @@
 """Main text of web pages, by wrappers inferred per host.
 
-A page's token stream is folded into a union-free regular expression: tags
-with their class, text slots, and consecutive groups of one form folded into
-repetitions. Expressions of a host are aligned one after another: where they
-differ, a group becomes optional or repeated, a text becomes a slot. What stays
-a constant text on every page is the host's template. Expressions are merged
-within a map task first, then over salted parts of a host, then per host, so
-no task gathers the pages of a host, only expressions of template size.
-
-The main text is what stands in the article (or, without such an element, in
-the body), without regions that hold menus, headers, footers, sidebars,
-notices, adverts, forms or comments by their tag, role or class. Of a page
-without an article element the host's template texts go too.
+A page is a stream of text tokens, each with the path of tags and classes it
+stands under. The stream is folded into a union-free regular expression: equal
+neighbours, and groups of up to FOLD tokens that follow one another in the same
+order, become repetitions. Expressions of a host are aligned one after another,
+in order: where texts differ, a text becomes a slot; where tokens differ, the
+stream that meets the other one sooner again has an optional group before that.
+What stays a constant text, or a repetition of the same texts, on every page
+that has it is the host's template and goes from all of its pages, inside
+articles too. Expressions are merged within a map task first, then over salted
+parts of a host, then per host, so no task gathers the pages of a host, only
+expressions of template size.
+
+The rest of the main text is what stands in articles or main elements (on a
+page without them, in the body), but for regions that hold menus, headers,
+footers, sidebars, notices, adverts, forms or comments by their tag, role or
+class.
 """
 
 from __future__ import annotations
@@ -19,30 +23,31 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import by_bytes, stored, texts_of
 from contactloom.llm.url_reputation import host_of
 
-#: A text is template if it is the same on so many pages of the host at least, and on all that have its slot.
-LEAST_PAGES = 3
+#: A text is template if it is the same on so many pages of the host at least, and on all that have its slot; inside an article
+#: it takes more of them, since a few pages may well be copies of one another.
+LEAST_PAGES, LEAST_INSIDE = 3, 20
 SALTS = 32
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)",
-    re.S,
-)
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Tokens of a group that is looked for as a repetition, at most.
+FOLD = 4
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(\s*/?>)?", re.S)
+_NAME, _BARE, _GAP, _EQUALS = re.compile(r"[^\s>/=][^\s>/=]*"), re.compile(r"[^\s>]*"), re.compile(r"[\s/=]*"), re.compile(r"\s*=\s*")
 _PART = re.compile(r"[A-Za-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr script style".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr script style math mi mn mo mrow mtext msup msub mfrac msqrt".split())
 #: closed by the start of another of their kind, up to a container
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -54,13 +59,15 @@ SKIP_WORDS = frozenset(
     " sidebar sidebars widget widgets footer masthead comment comments commentlist discussion disqus reply replies respond notice notices cookie cookies consent gdpr newsletter subscribe subscription"
     " signup popup modal overlay share sharing social related recommended recommendations toolbar pagination pager login search skip".split()
 )
+#: Inside an article only these count, and only as a whole class or id, or with words for a box.
+SKIP_INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adslot sponsored promo promos menu nav navbar navigation breadcrumb breadcrumbs sidebar footer comment comments commentlist discussion disqus"
+    " reply replies respond cookie cookies consent newsletter subscribe signup popup modal overlay share sharing social related recommended pagination pager toolbar".split()
+)
+BOXES = frozenset("area articles bar block bottom box buttons container content form group inner items left link links list main page panel posts right section top unit wrap wrapper".split())
 NEVER = frozenset("html body main".split())
 
 
-def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if text.strip() else {}
-
-
 def skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether an element holds no main text. ``inside``: it stands in an article or main element."""
     if tag in NEVER:
@@ -69,24 +76,67 @@ def skipped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in SKIP_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    named = {w.lower() for w in _PART.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    return bool(named & SKIP_WORDS) or not inside and "header" in named and tag not in ("h1", "h2", "h3")
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).lower()
+    if inside:
+        return any((parts := set(_PART.findall(x))) & SKIP_INSIDE and parts <= SKIP_INSIDE | BOXES for x in names.split())
+    named = set(_PART.findall(names))
+    return bool(named & SKIP_WORDS) or "header" in named and tag not in ("h1", "h2", "h3")
+
+
+class Scanner:
+    """Reads a page's tags. Every character is looked at a bounded number of times, whatever quotes stay open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.closed = {'"': True, "'": True}  # whether one may still follow
+        self.last_close: dict[str, int] = {}
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes that begin at ``at``, and where their tag ends."""
+        page, found = self.page, {}
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= len(page):
+                return found, at
+            if page[at] == ">":
+                return found, at + 1
+            m = _NAME.match(page, at)
+            at, value = m.end(), ""
+            if e := _EQUALS.match(page, at):
+                at = e.end()
+                quote = page[at : at + 1]
+                end = page.find(quote, at + 1) if self.closed.get(quote) else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    if quote in self.closed:
+                        self.closed[quote] = False
+                    v = _BARE.match(page, at)
+                    value, at = v.group(), v.end()
+            found.setdefault(m.group().lower(), value)
+
+    def closes_later(self, tag: str, at: int) -> bool:
+        if tag not in self.last_close:
+            self.last_close[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s>]", self.page, re.I)), default=-1)
+        return self.last_close[tag] >= at
 
 
 class Block:
-    """A run of text without a block boundary: its slot's path, its text, the article it stands in, whether it is skipped."""
+    """A run of text without a block boundary: its path's hash, its text, the article it stands in, whether it is skipped."""
 
     __slots__ = ("path", "text", "region", "skip")
 
-    def __init__(self, path: tuple, text: str, region: tuple, skip: bool):
+    def __init__(self, path: int, text: str, region: int, skip: bool):
         self.path, self.text, self.region, self.skip = path, text, region, skip
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order. A region is 0 outside of article and main elements."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, tuple]] = []  # tag, label, skip, region
+    stack: list[tuple[str, int, bool, int]] = []  # tag, path, skip, region
+    opened: dict[str, int] = {}
     pieces: list[str] = []
+    scanner = Scanner(page)
     n_regions = 0
 
     def flush() -> None:
@@ -94,190 +144,167 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                out.append(Block(tuple(x[1] for x in stack), text, stack[-1][3] if stack else (), bool(stack) and stack[-1][2]))
+                _, path, skip, region = stack[-1] if stack else ("", 0, False, 0)
+                out.append(Block(path, text, region, skip))
 
-    def said(raw: str) -> None:
-        if raw:
-            pieces.append(html.unescape(raw) if "&" in raw else raw)
+    def pop(i: int) -> None:
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
 
-    at, raw_until = 0, ""
-    n = len(page)
+    at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _MARK.search(page, at)
+        raw = page[at : m.start()] if m else page[at:]
+        if raw:
+            pieces.append(html.unescape(raw) if "&" in raw else raw)
         if not m:
-            said(page[at:])
             break
-        said(page[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
             continue
-        closing, tag = bool(m[1] or m[4]), tag.lower()
+        tag, attrs = m[2].lower(), {}
+        if not m[3]:
+            attrs, at = scanner.attributes(at)
         inline = tag in INLINE
         if not inline:
             flush()
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if inline and not any(x[0] not in INLINE for x in stack[i:]):
-                        # an inline element opens no path of its own
-                        del stack[i:]
-                    elif not inline:
-                        flush()
-                        del stack[i:]
-                    break
-                if inline and stack[i][0] not in INLINE or tag not in BARRIER and stack[i][0] in BARRIER:
-                    break
+        if m[1]:
+            if opened.get(tag):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        if inline and stack[i][2] and not (stack[i - 1][2] if i else False):
+                            flush()
+                        pop(i)
+                        break
+                    if inline and stack[i][0] not in INLINE or tag not in BARRIER and stack[i][0] in BARRIER:
+                        break
             continue
         if tag in RAW:
-            if not m[0].endswith("/>"):
+            if not page.endswith("/>", m.start(), at):
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         if tag in VOID:
             continue
-        attrs = attributes(m[3] or m[6] or "")
         closes = CLOSES.get(tag, frozenset()) | ({"p"} if tag in BLOCKS_P else frozenset())
-        if closes:
+        if any(opened.get(x) for x in closes):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i][0] in BARRIER:
                     break
+        role = attrs.get("role", "").lower()
         if tag in ("article", "main"):
             # an unclosed menu or header before it does not swallow it
-            while stack and stack[-1][2] and stack[-1][0] in SKIP_TAGS | {"header"} and not re.compile(rf"</{stack[-1][0]}[\s>]", re.I).search(page, at):
-                stack.pop()
-        parent_skip, region = (stack[-1][2], stack[-1][3]) if stack else (False, ())
-        skip = parent_skip or skipped(tag, attrs, bool(region))
-        if not skip and (tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")):
+            while stack and stack[-1][2] and stack[-1][0] in SKIP_TAGS | {"header"} and not scanner.closes_later(stack[-1][0], at):
+                pop(len(stack) - 1)
+        _, path, parent_skip, region = stack[-1] if stack else ("", 0, False, 0)
+        skip = parent_skip or skipped(tag, attrs, region > 0)
+        if not skip and not region and (tag in ("article", "main") or role in ("main", "article")):
             n_regions += 1
-            region = (*region, (n_regions, "article" if tag == "article" or attrs.get("role", "").lower() == "article" else "main"))
-        if inline:
-            if skip and not parent_skip:
-                flush()
-            if skip == parent_skip:
-                # inline marks are no part of a slot's path
-                stack.append((tag, stack[-1][1] if False else "", skip, region))
-                continue
-        label = tag + "".join("." + c for c in sorted(set(attrs.get("class", "").split())))
-        stack.append((tag, label, skip, region))
+            region = n_regions
+        if inline and skip and not parent_skip:
+            flush()
+        if not inline or skip != parent_skip:
+            # inline marks are no part of a path; numbers in class names count pages, not kinds
+            path = xxhash.xxh64_intdigest(tag + "".join("." + _DIGITS.sub("0", c) for c in sorted(set(attrs.get("class", "").split()))), path)
+        stack.append((tag, path, skip, region))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    for b in out:
-        b.path = tuple(x for x in b.path if x)
     return out
 
 
 def main_region(found: list[Block]) -> list[Block]:
-    """Blocks of the page's article: the article element with the most text, else the main element, else all that is not skipped."""
-    size: dict[tuple, int] = {}
-    for b in found:
-        if not b.skip:
-            for depth in range(1, len(b.region) + 1):
-                size[b.region[:depth]] = size.get(b.region[:depth], 0) + len(b.text)
-    for kind in ("article", "main"):
-        own = {k: v for k, v in size.items() if k[-1][1] == kind}
-        if own:
-            # of nested articles the outer one has the most text
-            best = max(own, key=lambda k: (own[k], -k[-1][0]))
-            return [b for b in found if not b.skip and b.region[: len(best)] == best]
-    return [b for b in found if not b.skip]
-
-
-# --- wrappers: {"n": pages, "kids": [[label, {wrapper}, repeated, optional] | ["#", text or None, pages]]}
-
-
-def expression(found: list[Block]) -> dict:
-    """The folded expression of a page: a tree of labels with text slots, equal neighbours folded."""
-    root: dict = {"n": 1, "kids": []}
-    for b in found:
-        node = root
-        for label in b.path:
-            last = node["kids"][-1] if node["kids"] else None
-            if not last or last[0] != label:
-                node["kids"].append([label, {"n": 1, "kids": []}, False, False])
-            node = node["kids"][-1][1]
-        last = node["kids"][-1] if node["kids"] else None
-        if last and last[0] == "#":
-            # the group repeats on this page: one slot with different texts
-            if last[1] != b.text:
-                last[1] = None
-        else:
-            node["kids"].append(["#", b.text, 1])
-    return fold(root)
-
-
-def fold(node: dict) -> dict:
-    """Later groups of a label join the first one of it, as a repetition."""
-    kids: list = []
-    place: dict[str, int] = {}
-    for kid in node["kids"]:
-        if kid[0] in place:
-            first = kids[place[kid[0]]]
-            if kid[0] == "#":
-                first[1] = first[1] if first[1] == kid[1] else None
-            else:
-                first[1]["kids"] += kid[1]["kids"]
-                first[2] = True
-        else:
-            place[kid[0]] = len(kids)
-            kids.append(kid)
-    for kid in kids:
-        if kid[0] != "#":
-            fold(kid[1])
-    node["kids"] = kids
-    return node
-
-
-def align(a: dict, b: dict) -> dict:
-    """One expression for both: groups of only one side become optional, texts that differ become slots."""
-    out = []
-    theirs = {k[0]: k for k in b["kids"]}
-    ours = {k[0] for k in a["kids"]}
-    for kid in a["kids"]:
-        other = theirs.get(kid[0])
-        if kid[0] == "#":
-            out.append(["#", kid[1] if other is None or other[1] == kid[1] else None, kid[2] + (other[2] if other else 0)])
-        elif other is None:
-            out.append([kid[0], kid[1], kid[2], True])
+    """Blocks that are not skipped: those of all article and main elements, or all if there are none."""
+    own = [b for b in found if not b.skip]
+    return [b for b in own if b.region] or own
+
+
+# --- wrappers: lists of [path, hash of the constant text or None for a slot, pages, repeated, optional, inside an article]
+
+
+def expression(found: list[Block]) -> tuple[list[list], list[list[int]]]:
+    """The folded expression of a page, and which blocks each of its items has."""
+    items: list[list] = []
+    held: list[list[int]] = []
+
+    def join(into: int, other: int) -> None:
+        # a repetition of the same texts in the same order is a constant too
+        items[into][1] = xxhash.xxh64_intdigest(items[other][1].to_bytes(8, "little"), items[into][1])
+        items[into][3] = True
+        held[into] += held[other]
+
+    for k, b in enumerate(found):
+        items.append([b.path, xxhash.xxh64_intdigest(b.text), 1, False, False, b.region > 0])
+        held.append([k])
+        for size in range(1, FOLD + 1):
+            n = len(items)
+            if n >= 2 * size and all(items[n - size + i][0] == items[n - 2 * size + i][0] for i in range(size)):
+                for i in range(size):
+                    join(n - 2 * size + i, n - size + i)
+                del items[n - size :], held[n - size :]
+                break
+    return items, held
+
+
+def align(a: list[list], b: list[list]) -> list[list]:
+    """One expression for both, in order: what only one side has becomes optional, texts that differ become slots."""
+    places: list[dict[int, list[int]]] = []
+    for side in (a, b):
+        at: dict[int, list[int]] = {}
+        for k, x in enumerate(side):
+            at.setdefault(x[0], []).append(k)
+        places.append(at)
+
+    def ahead(side: int, path: int, after: int) -> int | None:
+        at = places[side].get(path, ())
+        k = bisect_right(at, after)
+        return at[k] if k < len(at) else None
+
+    out: list[list] = []
+    alone = lambda items: out.extend([*x[:4], True, x[5]] for x in items)
+    i = j = 0
+    while i < len(a) and j < len(b):
+        x, y = a[i], b[j]
+        if x[0] == y[0]:
+            out.append([x[0], x[1] if x[1] == y[1] else None, x[2] + y[2], x[3] or y[3], x[4] or y[4], x[5] or y[5]])
+            i, j = i + 1, j + 1
+            continue
+        u, v = ahead(0, y[0], i), ahead(1, x[0], j)
+        if u is None and v is None:
+            alone([x, y])
+            i, j = i + 1, j + 1
+        elif v is None or u is not None and u - i <= v - j:
+            alone(a[i:u])
+            i = u
         else:
-            out.append([kid[0], align(kid[1], other[1]), kid[2] or other[2], kid[3] or other[3]])
-    for kid in b["kids"]:
-        if kid[0] not in ours:
-            out.append(kid if kid[0] == "#" else [kid[0], kid[1], kid[2], True])
-    return {"n": a["n"] + b["n"], "kids": sorted(out, key=lambda k: k[0])}
-
-
-def templates(wrapper: dict, least: int = LEAST_PAGES) -> list[str]:
-    """``path>text`` of every constant text of the wrapper."""
-    found: list[str] = []
-
-    def walk(node: dict, path: tuple) -> None:
-        for kid in node["kids"]:
-            if kid[0] == "#":
-                if kid[1] is not None and kid[2] >= least:
-                    found.append(key_of(path, kid[1]))
-            else:
-                walk(kid[1], (*path, kid[0]))
-
-    walk(wrapper, ())
-    return sorted(found)
+            alone(b[j:v])
+            j = v
+    alone(a[i:])
+    alone(b[j:])
+    return out
 
 
-def key_of(path: tuple, text: str) -> str:
-    return "/".join(path) + ">" + text
+def templates(wrapper: list[list], least: int = LEAST_PAGES, least_inside: int = LEAST_INSIDE) -> list[str]:
+    """``path:hash`` of every constant of the wrapper."""
+    return sorted({f"{x[0]}:{x[1]}" for x in wrapper if x[1] is not None and x[2] >= (least_inside if x[5] else least)})
 
 
 def text_of(page: str, constant: frozenset = frozenset()) -> str:
-    """The main text of a page of a host with these template texts; an article is kept whole."""
-    region = main_region(blocks(page))
-    own = [b for b in region if b.region or key_of(b.path, b.text) not in constant] if constant else region
-    # a host whose pages are all alike has no article to tell from a template
-    return " ".join(b.text for b in (own or region))
-
-
-def _merged(groups: dict[str, dict], host: str, wrapper: dict) -> None:
+    """The main text of a page of a host with these template texts. A page that is nothing but template keeps its text."""
+    found = blocks(page)
+    region = main_region(found)
+    if constant:
+        items, held = expression(found)
+        gone = {k for x, own in zip(items, held) if f"{x[0]}:{x[1]}" in constant for k in own}
+        left = {id(b) for k, b in enumerate(found) if k not in gone}
+        region = [b for b in region if id(b) in left] or region
+    return " ".join(b.text for b in region)
+
+
+def _merged(groups: dict[str, list], host: str, wrapper: list) -> None:
     groups[host] = align(groups[host], wrapper) if host in groups else wrapper
 
 
@@ -285,22 +312,22 @@ def wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     """``(host, wrapper)`` with the wrapper as JSON, from all ``pages(url, html)``."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[str, dict] = {}
+        groups: dict[str, list] = {}
         for batch in batches:
             hosts, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, host in enumerate(hosts):
-                _merged(groups, host, expression(blocks(texts[i].as_py() or "")))
+                _merged(groups, host, expression(blocks(texts[i].as_py() or ""))[0])
                 if len(groups) >= 2000:
                     yield rows(groups)
                     groups = {}
         if groups:
             yield rows(groups)
 
-    def rows(groups: dict[str, dict]) -> pa.RecordBatch:
+    def rows(groups: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(groups)), pa.array([json.dumps(w) for w in groups.values()])], ["host", "wrapper"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[str, dict] = {}
+        groups: dict[str, list] = {}
         for w in sorted(group["wrapper"]):
             _merged(groups, group["host"].iloc[0], json.loads(w))
         return pd.DataFrame({"host": list(groups), "wrapper": [json.dumps(w) for w in groups.values()]})
