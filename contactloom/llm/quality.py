@@ -140,11 +140,16 @@ def sampled_examples(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
     half = sample_docs // 2
     picked = [rated.where(F.col("quality") == q).orderBy(order, "doc_id").limit(half) for q in (0, 1)]
     lines = F.slice(F.split(F.col("text").cast("string"), "\n", -1), 1, sample_lines)
-    rows = docs.select("doc_id", lines.alias("lines")).where("lines is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy(order, "doc_id", "lines").limit(2 * sample_docs).toLocalIterator()
-    found = []
-    for row in rows:
-        found.append((features(line_values(row.lines)), np.full(len(row.lines), CONTENT if row.quality else BOILERPLATE)))
-    return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # lines of any length stay here; what goes to the driver is a few numbers for each
+        for batch in batches:
+            found = [features(line_values(x)).reshape(-1).tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "quality", "found"])
+
+    held = docs.select("doc_id", lines.alias("lines")).where("lines is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "lines")
+    rows = held.mapInArrow(run, "doc_id long, quality long, found array<long>").orderBy(order, "doc_id", "found").limit(2 * sample_docs).collect()
+    return [(np.array(r.found, np.int64).reshape(-1, len(BINS)), np.full(len(r.found) // len(BINS), CONTENT if r.quality else BOILERPLATE)) for r in rows]
 
 
 def fit(docs: DataFrame | None = None, labels: DataFrame | None = None, **options) -> Chain:
