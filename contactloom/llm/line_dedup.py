@@ -1,11 +1,14 @@
 """Removal of repeated passages by content-defined line chunks, in DataFrame operations only.
 
-A rolling hash over the hashes of two consecutive lines decides whether a chunk
-ends after a line, so that boundaries move with the content: a passage put into
-another document falls into the same chunks again, whatever stands before it. A
-line of many words is a chunk of its own. Chunks of two lines or more, and such
-long lines, that stand in several documents stay in the one of the least doc_id
-and are removed from the others, after their bytes have been compared.
+A text's lines, and the sentences of a line, which count as lines of their own,
+are hashed. A rolling hash over the hashes of two consecutive lines decides
+whether a piece ends after the second, so that the pieces' boundaries move with
+the content: a passage put into another document falls into the same pieces
+again, whatever stands before it. A chunk is two consecutive pieces, so it has
+two lines or more, and every line of a passage but those at its ends is in a
+chunk that lies wholly within. Chunks that stand in several documents stay in
+the one of the least doc_id and are removed from the others, after their bytes
+have been compared.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import cut
+from contactloom.llm.common import SPACE, stored
 
-#: A chunk ends after a line in EVERY of 16 on average; a line of LONG words stands alone; chunks of fewer words than LEAST stay.
-#: A passage begins and ends within chunks that it shares with its neighbours, so lines of a paragraph's length stand alone.
-EVERY, LONG, LEAST = 4, 25, 10
+#: A piece ends after a line in EVERY of 16 on average; a chunk of fewer words than LEAST is no passage.
+EVERY, LEAST = 12, 10
+#: A line: up to its newline, or up to a space after the end of a sentence. Lines joined are the text again.
+LINE = r"[^\n]*?(?:[.!?] |\n|\z)"
+#: The rolling hash of lines x, y is (FACTOR x + y) modulo PRIME; a line's hash has 56 bits.
+FACTOR, PRIME = 31, 2**61 - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,119 +33,134 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def n_words(line: Column) -> Column:
-    """Space-separated pieces of a line."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+def lines_of(text: Column) -> Column:
+    """The lines of a text with what ends them; none if it is null or empty."""
+    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0)), lambda x: x != "")
 
 
-def _nibble(line: Column) -> Column:
-    """A line's hash: 0 to 15, the last digit of its MD5."""
-    return F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(line.cast("binary")), 32, 1)) - 1
+def key_of(line: Column) -> Column:
+    """What is compared of a line: all but the space and newlines at its end."""
+    return F.rtrim(line, F.lit(" \n"))
 
 
-#: of the empty text, which stands before the first line
-_NONE = 14
+def line_hash(key: Column) -> Column:
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 14), 16, 10).cast("long")
 
 
-def chunks(text: Column, every: int = EVERY, long_words: int = LONG) -> Column:
-    """The chunks of a text as structs: lines, words and ``t``, the chunk; joined by newlines they are the text again.
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
 
-    Each line is hashed and its words are counted once; the rest works on
-    positions, and characters are touched again only to put a chunk together.
-    """
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("t"), _nibble(x).alias("h"), n_words(x).alias("w")))
 
-    def cut_at(held: Column) -> Column:
-        def begins(i: Column) -> Column:
-            here, last = F.get(held, i), F.get(held, i - 1)
-            ends = (last["h"] + F.coalesce(F.get(held, i - 2)["h"], F.lit(_NONE)) * 3) % 16 < every
-            return (i == 0) | (here["w"] >= long_words) | (last["w"] >= long_words) | ends
+def chunks(text: Column, every: int = EVERY) -> Column:
+    """The chunks of a text: ``b`` and ``e``, its lines from b up to e, and ``h``, a hash of its bytes."""
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), begins)
-        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(held)))
+    def cut_at(keys: Column, hashes: Column) -> Column:
+        n = F.size(keys)
+        roll = lambda i: F.pmod(F.coalesce(F.get(hashes, i - 2), F.lit(0)) * FACTOR + F.get(hashes, i - 1), F.lit(PRIME))
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (roll(i) % 16 < every))
 
-        def chunk(s: Column, e: Column) -> Column:
-            own = F.slice(held, s + 1, e - s)
-            return F.struct((e - s).alias("lines"), F.aggregate(own, F.lit(0), lambda n, x: n + x["w"]).alias("words"), F.array_join(F.transform(own, lambda x: x["t"]), "\n").alias("t"))
+        def chunk(b: Column, e: Column) -> Column:
+            return F.struct(b.alias("b"), e.alias("e"), chunk_hash(F.array_join(F.slice(keys, b + 1, e - b), "\n")).alias("h"))
 
-        return let(starts, lambda at: F.zip_with(at, ends(at), chunk))
+        # from every beginning to the one after the next; the last piece is in the chunk before it
+        firsts = lambda at: F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(1)))
+        ends = lambda at: F.concat(F.slice(at, 3, F.size(at)), F.array(n))
+        return let(begins, lambda at: F.zip_with(firsts(at), ends(at), chunk))
 
-    return let(lines, cut_at)
+    found = let(F.transform(lines_of(text), key_of), lambda keys: let(F.transform(keys, line_hash), lambda hashes: cut_at(keys, hashes)))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, found).otherwise(F.expr("cast(array() as array<struct<b:int,e:int,h:bigint>>)"))
 
 
-def eligible(chunk: Column, long_words: int = LONG, least: int = LEAST) -> Column:
-    return ((chunk["lines"] >= 2) & (chunk["words"] >= least)) | (chunk["words"] >= long_words)
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(SPACE.replace("[", "[^")))
 
 
-def repeated(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: int = LEAST) -> DataFrame:
-    """``(doc_id, version, gone)`` for ``docs(doc_id, version, text)``: numbers of the chunks to remove, sorted.
+def without(lines: Column, ranges: Column) -> Column:
+    """``lines`` but those from b up to e for every one of ``ranges(b, e, ..)``, sorted by b and then e."""
+    before = F.concat(F.array(F.lit(0)), F.transform(ranges, lambda x: x["e"]))
+    kept = F.zip_with(before, F.concat(F.transform(ranges, lambda x: x["b"]), F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))))
+    return F.flatten(kept)
 
-    Chunks are grouped by a 64-bit hash. Their bytes are compared in the same
-    grouping, by the least and the greatest chunk of each hash: if these are
-    equal, so are all. Groups in which they differ are grouped again by the
-    chunk itself. Groups combine in the map stage, and what comes back to a
-    chunk's rows is one row, so a chunk that a third of all documents share is
-    neither gathered nor joined in one task.
-    """
-    held = docs.where("doc_id is not null").select("doc_id", "version", F.posexplode(chunks(F.col("text"), every, long_words)).alias("no", "c")).where(eligible(F.col("c"), long_words, least))
-    hashed = held.select("doc_id", "version", "no", F.xxhash64("c.t").alias("h"))
-    groups = held.select("doc_id", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), (F.min("t") != F.max("t")).alias("mixed")).where("a < z").select("h", "a", "mixed")
-    groups = cut(groups)
-    again = hashed.join(groups.where("not mixed").select("h", "a"), "h").where("doc_id > a").select("doc_id", "version", "no")
-    mixed = groups.where("mixed").select("h")
-    if not mixed.isEmpty():
-        texts = held.select("doc_id", "version", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t")).join(mixed, "h")
-        first = cut(texts.groupBy("t").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("t", "a"))
-        again = again.unionByName(texts.join(first, "t").where("doc_id > a").select("doc_id", "version", "no"))
-    return again.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("no")).alias("gone"))
-
-
-def dedup(docs: DataFrame, every: int = EVERY, long_words: int = LONG, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with texts cleaned, and ``n_chunks``, ``n_removed``, ``n_removed_lines``.
-
-    A null text stays null and has no chunks, an empty one is one empty chunk.
-    Rows without an id, and rows of one id among themselves (copies or versions
-    of one document), keep all they have; a passage repeated within one document stays there unless another document
-    of a lesser id has it. All other columns are kept as they are.
+
+def dedup(docs: DataFrame, every: int = EVERY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with texts cleaned, and ``n_chunks``, ``n_removed``, ``n_removed_lines``; columns of these names are replaced.
+
+    A null text stays null; it and an empty one have no chunks. Rows without an
+    id, and rows of one id among themselves (copies or versions of one
+    document), keep all they have; a passage repeated within one document stays
+    there unless another document of a lesser id has it. All other columns are
+    kept as they are, whatever they are called.
+
+    Only hashes are exchanged to find what is repeated. Groups combine in the
+    map stage, and what comes back to a chunk's rows is one row, so a chunk that
+    a third of all documents share is neither gathered nor joined in one task.
+    Texts are shuffled once, to meet the chunks found in them; the chunks' own
+    bytes are then compared by the least and the greatest of each hash: if these
+    are equal, so are all. Hashes for which they differ are decided by the
+    chunks themselves.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    gone = repeated(slim, every, long_words, least).toDF("gone_id", "gone_version", "gone")
-    joined = docs.join(gone, (docs[id_col] == gone.gone_id) & (F.xxhash64(text) == gone.gone_version), "left").drop("gone_id", "gone_version")
-    touched = F.col("gone").isNotNull()
-
-    def cleaned(parts: Column) -> Column:
-        out = lambda i: F.array_contains("gone", i)
-        kept = F.filter(parts, lambda c, i: ~out(i))
-        lost = F.filter(parts, lambda c, i: out(i))
-        return F.struct(
-            F.size(parts).alias("n"), F.when(touched, F.aggregate(lost, F.lit(0), lambda n, c: n + c["lines"])).otherwise(0).alias("lines"),
-            F.when(touched, F.array_join(F.transform(kept, lambda c: c["t"]), "\n")).alias("t"),
-        )
-
-    whole = chunks(F.col(text_col).cast("string"), every, long_words)
-    return joined.withColumn("cleaned_", F.when(F.col(text_col).isNotNull(), let(whole, cleaned))).withColumns({
-        "n_chunks": F.coalesce("cleaned_.n", F.lit(0)).cast("long"),
-        "n_removed": F.when(touched, F.size("gone")).otherwise(0).cast("long"),
-        "n_removed_lines": F.coalesce("cleaned_.lines", F.lit(0)).cast("long"),
-        text_col: F.when(touched, F.col("cleaned_.t")).otherwise(F.col(text_col)),
-    }).drop("gone", "cleaned_")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), text.alias("text"), F.struct("*").alias("row"))
+    cut = rows.select("id", "version", chunks(F.col("text"), every).alias("c"))
+    each = stored(cut.select("id", "version", F.size("c").alias("n"), F.explode("c").alias("c")).select("id", "version", "n", "c.*"))
+    able = each.where((F.col("e") - F.col("b") >= 2) & F.col("id").isNotNull())
+    groups = able.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a")
+    # with one row for every text, which says how many chunks it has
+    met = able.join(groups, "h").select("id", "version", F.lit(None).cast("int").alias("n"), F.struct("b", "e", "h", "a").alias("x"))
+    own = each.where("b = 0").select("id", "version", "n", F.lit(None).cast(met.schema["x"].dataType).alias("x")).unionByName(met)
+    own = own.groupBy("id", "version").agg(F.max("n").alias("n_chunks"), F.array_sort(F.collect_set("x")).alias("found")).toDF("own_id", "own_version", "n_chunks", "found")
+    joined = rows.join(own, rows.id.eqNullSafe(own.own_id) & (rows.version == own.own_version), "left").select("id", "version", "row", "text", "n_chunks", F.when(F.size("found") > 0, F.col("found")).alias("found"))
+    joined = stored(joined)
+    said = joined.where("found is not null").select("id", "version", F.explode(_spelled()).alias("x")).select("id", "version", "x.*")
+    mixed = stored(said.groupBy("h").agg((F.min("t") != F.max("t")).alias("mixed")).where("mixed").select("h"))
+    none = F.expr("cast(array() as array<int>)")
+    joined = joined.withColumns({"doubted": none, "proven": none}) if mixed.isEmpty() else _proven(joined.drop("doubted", "proven"), said.join(mixed, "h"))
+    return _cleaned(joined, text_col, least)
+
+
+def _spelled() -> Column:
+    """The chunks found in a text, with their bytes."""
+    return let(F.transform(lines_of(F.col("text")), key_of), lambda keys: F.transform("found", lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["h"].alias("h"), x["a"].alias("a"), F.array_join(F.slice(keys, x["b"] + 1, x["e"] - x["b"]), "\n").alias("t"))))
+
+
+def _proven(joined: DataFrame, said: DataFrame) -> DataFrame:
+    """``joined`` with where its chunks of ambiguous hashes begin, and which of these a lesser document has byte by byte."""
+    firsts = said.groupBy("h", "t").agg(F.min("id").alias("first"))
+    each = said.join(firsts, ["h", "t"]).groupBy("id", "version").agg(F.collect_set("b").alias("doubted"), F.collect_set(F.when(F.col("id") > F.col("first"), F.col("b"))).alias("proven"))
+    return joined.join(each.withColumnsRenamed({"id": "p_id", "version": "p_version"}), (F.col("id") == F.col("p_id")) & (F.col("version") == F.col("p_version")), "left").drop("p_id", "p_version")
+
+
+def _cleaned(joined: DataFrame, text_col: str, least: int) -> DataFrame:
+    known = lambda x: ~F.coalesce(F.array_contains("doubted", x["b"]), F.lit(False)) | F.coalesce(F.array_contains("proven", x["b"]), F.lit(False))
+    gone = F.filter(_spelled(), lambda x: (F.col("id") > x["a"]) & known(x) & (n_words(x["t"]) >= least))
+
+    def rest(lines: Column, ranges: Column) -> Column:
+        kept = without(lines, ranges)
+        return F.struct(F.size(ranges).alias("n"), (F.size(lines) - F.size(kept)).alias("lines"), F.array_join(kept, "").alias("t"))
+
+    done = F.when(F.col("found").isNotNull(), let(lines_of(F.col("text")), lambda lines: let(gone, lambda ranges: rest(lines, ranges))))
+    held = joined.withColumn("done", done)
+    n = {"n_chunks": F.coalesce("n_chunks", F.lit(0)), "n_removed": F.coalesce("done.n", F.lit(0)), "n_removed_lines": F.coalesce("done.lines", F.lit(0))}
+    names = [c for c in joined.schema["row"].dataType.names if c not in n]
+    own = {text_col: F.when(F.col("done.n") > 0, F.col("done.t")).otherwise(F.col("row")[text_col])}
+    return held.select(*[own.get(c, F.col("row")[c]).alias(c) for c in names], *[v.cast("long").alias(c) for c, v in n.items()])
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-r AS (
-  SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i, unnest(list_concat([''], lines[1:len(lines) - 1])) AS prior FROM l),
-f AS (
-  SELECT doc_id, i, line, len(string_split(line, ' ')) >= 25 AS alone,
-         (instr('0123456789abcdef', right(md5(line), 1)) - 1 + (instr('0123456789abcdef', right(md5(prior), 1)) - 1) * 3) % 16 < 4 AS ends FROM r),
-b AS (SELECT doc_id, i, line, alone OR coalesce(lag(alone OR ends) OVER w, TRUE) AS begins FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, line, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no FROM b),
-c AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM n GROUP BY doc_id, no),
-e AS (SELECT *, len(string_split(replace(chunk, chr(10), ' '), ' ')) AS n_words FROM c),
-k AS (SELECT chunk, min(doc_id) AS a FROM e WHERE (n_lines >= 2 AND n_words >= 10) OR n_words >= 25 GROUP BY chunk HAVING min(doc_id) < max(doc_id)),
-g AS (SELECT e.*, coalesce(doc_id > a, FALSE) AS gone FROM e LEFT JOIN k USING (chunk))
-SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
-       md5(coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_md5
-FROM g GROUP BY doc_id
+WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\n]*?(?:[.!?] |\n|\z)'), lambda x: x <> '') AS lines FROM documents),
+k AS (SELECT doc_id, lines, list_transform(lines, lambda x: rtrim(x, ' ' || chr(10))) AS keys FROM l WHERE len(lines) > 0),
+hs AS (SELECT doc_id, keys, list_transform(keys, lambda x: ('0x' || left(md5(x), 14))::BIGINT::HUGEINT) AS h FROM k),
+b AS (SELECT doc_id, keys, list_filter(range(0, len(keys)), lambda i: i = 0 OR ((coalesce(h[i - 1], 0) * 31 + h[i]) % 2305843009213693951) % 16 < 12) AS begins FROM hs),
+c AS (
+  SELECT doc_id, keys, unnest(begins[1:greatest(len(begins) - 1, 1)]) AS b, unnest(list_concat(begins[3:], [len(keys)])) AS e, greatest(len(begins) - 1, 1) AS n FROM b),
+t AS (SELECT doc_id, b, e, n, array_to_string(keys[b + 1:e], chr(10)) AS t FROM c),
+g AS (SELECT t, min(doc_id) AS a FROM t WHERE e - b >= 2 AND len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10 GROUP BY t HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, b, e FROM t JOIN g USING (t) WHERE e - b >= 2 AND doc_id > a),
+n AS (SELECT doc_id, max(n) AS n_chunks FROM t GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed, flatten(list(range(b, e))) AS lost FROM gone GROUP BY doc_id),
+d AS (
+  SELECT doc_id, n_removed, len(list_distinct(lost)) AS n_removed_lines, array_to_string(list_filter(lines, lambda x, i: NOT list_contains(lost, i - 1)), '') AS t
+  FROM r JOIN l USING (doc_id))
+SELECT doc_id, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, md5(coalesce(t, text, '')) AS text_md5
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id)
 """

@@ -147,35 +147,29 @@ def simhash_classes(docs: dict, threshold: int = 2) -> tuple[dict, dict]:
 # --- lines
 
 
-def line_chunks(text: str, every: int, long_words: int) -> list[list[str]]:
-    lines = text.split("\n")
-    nibble = lambda x: int(hashlib.md5(x.encode()).hexdigest()[-1], 16)
-    size = lambda x: len(x.split(" "))
-    out = [[lines[0]]]
-    for i in range(1, len(lines)):
-        before = nibble(lines[i - 2]) if i > 1 else nibble("")
-        ends = (nibble(lines[i - 1]) + 3 * before) % 16 < every
-        if ends or size(lines[i]) >= long_words or size(lines[i - 1]) >= long_words:
-            out.append([])
-        out[-1].append(lines[i])
-    return out
+def line_chunks(text: str, every: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lines of a text and its chunks, lines from b up to e."""
+    lines = [x for x in re.findall(r"[^\n]*?(?:[.!?] |\n|\Z)", text) if x]
+    h = [int(hashlib.md5(x.rstrip(" \n").encode()).hexdigest()[:14], 16) for x in lines]
+    at = [i for i in range(len(lines)) if i == 0 or ((31 * h[i - 2] if i > 1 else 0) + h[i - 1]) % (2**61 - 1) % 16 < every]
+    return lines, list(zip(at[: max(1, len(at) - 1)], at[2:] + [len(lines)])) if lines else []
 
 
-def line_dedup(docs: list[tuple], every: int, long_words: int, least: int) -> list[tuple]:
+def line_dedup(docs: list[tuple], every: int, least: int) -> list[tuple]:
     """(doc_id, cleaned text, chunks, removed, removed lines) of (doc_id, text)."""
-    cut = {k: line_chunks(t or "", every, long_words) for k, (_, t) in enumerate(docs)}
-    words = lambda c: sum(len(x.split(" ")) for x in c)
-    fit = lambda c: len(c) >= 2 and words(c) >= least or words(c) >= long_words
+    cut = [line_chunks(t or "", every) for _, t in docs]
+    said = lambda lines, b, e: "\n".join(x.rstrip(" \n") for x in lines[b:e])
+    fit = lambda lines, b, e: e - b >= 2 and len(WORD.findall(said(lines, b, e))) >= least
     first: dict = {}
-    for k, (i, _) in enumerate(docs):
-        for c in cut[k]:
-            if i is not None and fit(c):
-                first[tuple(c)] = min(first.get(tuple(c), i), i)
+    for (i, _), (lines, found) in zip(docs, cut):
+        for b, e in found:
+            if i is not None and fit(lines, b, e):
+                first[said(lines, b, e)] = min(first.get(said(lines, b, e), i), i)
     out = []
-    for k, (i, t) in enumerate(docs):
-        gone = [i is not None and fit(c) and first[tuple(c)] < i for c in cut[k]]
-        kept = "\n".join("\n".join(c) for c, g in zip(cut[k], gone) if not g)
-        out.append((i, (None if t is None else kept) if any(gone) else t, 0 if t is None else len(cut[k]), sum(gone), sum(len(c) for c, g in zip(cut[k], gone) if g)))
+    for (i, t), (lines, found) in zip(docs, cut):
+        gone = [(b, e) for b, e in found if i is not None and fit(lines, b, e) and first[said(lines, b, e)] < i]
+        lost = {k for b, e in gone for k in range(b, e)}
+        out.append((i, "".join(x for k, x in enumerate(lines) if k not in lost) if gone else t, len(found), len(gone), len(lost)))
     return out
 
 

@@ -18,7 +18,7 @@ def plain_run(spark):
     verdicts = {d[0]: not plain.quality_counts(d[1])[5] and quality.judged([d[1] or ""], chain)[0][6] >= quality.LEAST_SHARE for d in docs}
     docs = [d for d in docs if verdicts[d[0]]]
     stages = [docs]
-    cleaned = {i: (t, n) for i, t, _, n, _ in plain.line_dedup([d[:2] for d in docs], line_dedup.EVERY, line_dedup.LONG, line_dedup.LEAST)}
+    cleaned = {i: (t, n) for i, t, _, n, _ in plain.line_dedup([d[:2] for d in docs], line_dedup.EVERY, line_dedup.LEAST)}
     docs = [(d[0], t, d[2], d[3], len(t) if n else d[4]) for d in docs for t, n in [cleaned[d[0]]] if not n or plain.WORD.search(t)]
     stages.append(docs)
     ids = [d[0] for d in docs]
