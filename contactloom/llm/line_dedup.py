@@ -1,14 +1,14 @@
 """Removal of repeated passages by content-defined line chunks, in DataFrame operations only.
 
-A text's lines, and the sentences of a line, which count as lines of their own,
-are hashed. A rolling hash over the hashes of two consecutive lines decides
-whether a piece ends after the second, so that the pieces' boundaries move with
-the content: a passage put into another document falls into the same pieces
-again, whatever stands before it. A chunk is two consecutive pieces, so it has
-two lines or more, and every line of a passage but those at its ends is in a
-chunk that lies wholly within. Chunks that stand in several documents stay in
-the one of the least doc_id and are removed from the others, after their bytes
-have been compared.
+A text's lines are hashed; lines are first wrapped at the ends of sentences. A
+rolling hash over the hashes of two consecutive lines decides whether a piece
+ends after the second, so that the pieces' boundaries move with the content: a
+passage put into another document falls into the same pieces again, whatever
+stands before it. A chunk is two consecutive pieces, so it has two lines or
+more, and every line of a passage but those at its ends is in a chunk that lies
+wholly within. Chunks that stand in several documents stay in the one of the
+least doc_id and are removed from the others, after their bytes have been
+compared.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import SPACE, stored
+from contactloom.llm.common import cut, released, stored
 
-#: A piece ends after a line in EVERY of 16 on average; a chunk of fewer words than LEAST is no passage.
-EVERY, LEAST = 12, 10
-#: A line: up to its newline, or up to a space after the end of a sentence. Lines joined are the text again.
-LINE = r"[^\n]*?(?:[.!?] |\n|\z)"
+#: A piece ends after a line in EVERY of 16 on average; a chunk of fewer characters than LEAST is no passage.
+EVERY, LEAST = 12, 50
+#: A line: up to the end of a sentence after 40 characters or more, or to its newline. Lines joined are the text again.
+LINE = r"[^\n]{40,}?[.!?] |[^\n]*(?:\n|\z)"
 #: The rolling hash of lines x, y is (FACTOR x + y) modulo PRIME; a line's hash has 56 bits.
 FACTOR, PRIME = 31, 2**61 - 1
 
@@ -71,10 +71,6 @@ def chunks(text: Column, every: int = EVERY) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, found).otherwise(F.expr("cast(array() as array<struct<b:int,e:int,h:bigint>>)"))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SPACE.replace("[", "[^")))
-
-
 def without(lines: Column, ranges: Column) -> Column:
     """``lines`` but those from b up to e for every one of ``ranges(b, e, ..)``, sorted by b and then e."""
     before = F.concat(F.array(F.lit(0)), F.transform(ranges, lambda x: x["e"]))
@@ -100,27 +96,29 @@ def dedup(docs: DataFrame, every: int = EVERY, least: int = LEAST, id_col: str =
     chunks themselves.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), text.alias("text"), F.struct("*").alias("row"))
-    cut = rows.select("id", "version", chunks(F.col("text"), every).alias("c"))
-    each = stored(cut.select("id", "version", F.size("c").alias("n"), F.explode("c").alias("c")).select("id", "version", "n", "c.*"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), F.struct("*").alias("row"))
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("version"), chunks(text, every).alias("c"))
+    # the outer form, since for the other one the planner would cut every text twice, once to see that it has chunks
+    each = stored(found.select("id", "version", F.size("c").alias("n"), F.explode_outer("c").alias("c")).where("c is not null").select("id", "version", "n", "c.*"))
     able = each.where((F.col("e") - F.col("b") >= 2) & F.col("id").isNotNull())
     groups = able.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a")
     # with one row for every text, which says how many chunks it has
     met = able.join(groups, "h").select("id", "version", F.lit(None).cast("int").alias("n"), F.struct("b", "e", "h", "a").alias("x"))
     own = each.where("b = 0").select("id", "version", "n", F.lit(None).cast(met.schema["x"].dataType).alias("x")).unionByName(met)
-    own = own.groupBy("id", "version").agg(F.max("n").alias("n_chunks"), F.array_sort(F.collect_set("x")).alias("found")).toDF("own_id", "own_version", "n_chunks", "found")
-    joined = rows.join(own, rows.id.eqNullSafe(own.own_id) & (rows.version == own.own_version), "left").select("id", "version", "row", "text", "n_chunks", F.when(F.size("found") > 0, F.col("found")).alias("found"))
-    joined = stored(joined)
-    said = joined.where("found is not null").select("id", "version", F.explode(_spelled()).alias("x")).select("id", "version", "x.*")
+    own = stored(own.groupBy("id", "version").agg(F.max("n").alias("n_chunks"), F.array_sort(F.collect_set("x")).alias("found")).toDF("own_id", "own_version", "n_chunks", "found"))
+    released(docs.sparkSession)
+    joined = rows.join(own, rows.id.eqNullSafe(own.own_id) & (rows.version == own.own_version), "left").select("id", "version", "row", "n_chunks", F.when(F.size("found") > 0, F.col("found")).alias("found"))
+    joined = cut(joined)
+    said = joined.where("found is not null").select("id", "version", F.explode_outer(_spelled(text_col)).alias("x")).select("id", "version", "x.*")
     mixed = stored(said.groupBy("h").agg((F.min("t") != F.max("t")).alias("mixed")).where("mixed").select("h"))
     none = F.expr("cast(array() as array<int>)")
     joined = joined.withColumns({"doubted": none, "proven": none}) if mixed.isEmpty() else _proven(joined.drop("doubted", "proven"), said.join(mixed, "h"))
     return _cleaned(joined, text_col, least)
 
 
-def _spelled() -> Column:
+def _spelled(text_col: str) -> Column:
     """The chunks found in a text, with their bytes."""
-    return let(F.transform(lines_of(F.col("text")), key_of), lambda keys: F.transform("found", lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["h"].alias("h"), x["a"].alias("a"), F.array_join(F.slice(keys, x["b"] + 1, x["e"] - x["b"]), "\n").alias("t"))))
+    return let(F.transform(lines_of(F.col("row")[text_col].cast("string")), key_of), lambda keys: F.transform("found", lambda x: F.struct(x["b"].alias("b"), x["e"].alias("e"), x["h"].alias("h"), x["a"].alias("a"), F.array_join(F.slice(keys, x["b"] + 1, x["e"] - x["b"]), "\n").alias("t"))))
 
 
 def _proven(joined: DataFrame, said: DataFrame) -> DataFrame:
@@ -132,13 +130,13 @@ def _proven(joined: DataFrame, said: DataFrame) -> DataFrame:
 
 def _cleaned(joined: DataFrame, text_col: str, least: int) -> DataFrame:
     known = lambda x: ~F.coalesce(F.array_contains("doubted", x["b"]), F.lit(False)) | F.coalesce(F.array_contains("proven", x["b"]), F.lit(False))
-    gone = F.filter(_spelled(), lambda x: (F.col("id") > x["a"]) & known(x) & (n_words(x["t"]) >= least))
+    gone = F.filter(_spelled(text_col), lambda x: (F.col("id") > x["a"]) & known(x) & (F.length(x["t"]) >= least))
 
     def rest(lines: Column, ranges: Column) -> Column:
         kept = without(lines, ranges)
         return F.struct(F.size(ranges).alias("n"), (F.size(lines) - F.size(kept)).alias("lines"), F.array_join(kept, "").alias("t"))
 
-    done = F.when(F.col("found").isNotNull(), let(lines_of(F.col("text")), lambda lines: let(gone, lambda ranges: rest(lines, ranges))))
+    done = F.when(F.col("found").isNotNull(), let(lines_of(F.col("row")[text_col].cast("string")), lambda lines: let(gone, lambda ranges: rest(lines, ranges))))
     held = joined.withColumn("done", done)
     n = {"n_chunks": F.coalesce("n_chunks", F.lit(0)), "n_removed": F.coalesce("done.n", F.lit(0)), "n_removed_lines": F.coalesce("done.lines", F.lit(0))}
     names = [c for c in joined.schema["row"].dataType.names if c not in n]
@@ -147,14 +145,14 @@ def _cleaned(joined: DataFrame, text_col: str, least: int) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\n]*?(?:[.!?] |\n|\z)'), lambda x: x <> '') AS lines FROM documents),
+WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\n]{40,}?[.!?] |[^\n]*(?:\n|\z)'), lambda x: x <> '') AS lines FROM documents),
 k AS (SELECT doc_id, lines, list_transform(lines, lambda x: rtrim(x, ' ' || chr(10))) AS keys FROM l WHERE len(lines) > 0),
 hs AS (SELECT doc_id, keys, list_transform(keys, lambda x: ('0x' || left(md5(x), 14))::BIGINT::HUGEINT) AS h FROM k),
 b AS (SELECT doc_id, keys, list_filter(range(0, len(keys)), lambda i: i = 0 OR ((coalesce(h[i - 1], 0) * 31 + h[i]) % 2305843009213693951) % 16 < 12) AS begins FROM hs),
 c AS (
   SELECT doc_id, keys, unnest(begins[1:greatest(len(begins) - 1, 1)]) AS b, unnest(list_concat(begins[3:], [len(keys)])) AS e, greatest(len(begins) - 1, 1) AS n FROM b),
 t AS (SELECT doc_id, b, e, n, array_to_string(keys[b + 1:e], chr(10)) AS t FROM c),
-g AS (SELECT t, min(doc_id) AS a FROM t WHERE e - b >= 2 AND len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10 GROUP BY t HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT t, min(doc_id) AS a FROM t WHERE e - b >= 2 AND length(t) >= 50 GROUP BY t HAVING min(doc_id) < max(doc_id)),
 gone AS (SELECT doc_id, b, e FROM t JOIN g USING (t) WHERE e - b >= 2 AND doc_id > a),
 n AS (SELECT doc_id, max(n) AS n_chunks FROM t GROUP BY doc_id),
 r AS (SELECT doc_id, count(*) AS n_removed, flatten(list(range(b, e))) AS lost FROM gone GROUP BY doc_id),

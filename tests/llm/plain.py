@@ -149,7 +149,7 @@ def simhash_classes(docs: dict, threshold: int = 2) -> tuple[dict, dict]:
 
 def line_chunks(text: str, every: int) -> tuple[list[str], list[tuple[int, int]]]:
     """The lines of a text and its chunks, lines from b up to e."""
-    lines = [x for x in re.findall(r"[^\n]*?(?:[.!?] |\n|\Z)", text) if x]
+    lines = [x for x in re.findall(r"[^\n]{40,}?[.!?] |[^\n]*(?:\n|\Z)", text) if x]
     h = [int(hashlib.md5(x.rstrip(" \n").encode()).hexdigest()[:14], 16) for x in lines]
     at = [i for i in range(len(lines)) if i == 0 or ((31 * h[i - 2] if i > 1 else 0) + h[i - 1]) % (2**61 - 1) % 16 < every]
     return lines, list(zip(at[: max(1, len(at) - 1)], at[2:] + [len(lines)])) if lines else []
@@ -159,7 +159,7 @@ def line_dedup(docs: list[tuple], every: int, least: int) -> list[tuple]:
     """(doc_id, cleaned text, chunks, removed, removed lines) of (doc_id, text)."""
     cut = [line_chunks(t or "", every) for _, t in docs]
     said = lambda lines, b, e: "\n".join(x.rstrip(" \n") for x in lines[b:e])
-    fit = lambda lines, b, e: e - b >= 2 and len(WORD.findall(said(lines, b, e))) >= least
+    fit = lambda lines, b, e: e - b >= 2 and len(said(lines, b, e)) >= least
     first: dict = {}
     for (i, _), (lines, found) in zip(docs, cut):
         for b, e in found:
