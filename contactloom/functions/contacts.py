@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactloom.functions.text import clean_text, deobfuscate, emails_in, let, normalize_email
 from contactloom.functions.urls import authority, path
-from contactloom.lexicons import GENERIC_SOCIAL_PATHS, PLACEHOLDER_EMAIL_DOMAINS, PLACEHOLDER_EMAILS, PLACEHOLDER_PHONES, PLACEHOLDER_TLDS, PLATFORMS
+from contactloom.lexicons import (
+    GENERIC_SOCIAL_PATHS, PHONE_LABELS, PLACEHOLDER_ADDRESSES, PLACEHOLDER_EMAIL_DOMAINS, PLACEHOLDER_EMAILS, PLACEHOLDER_PHONES, PLACEHOLDER_TLD_NAMES, PLACEHOLDER_TLDS, PLATFORMS, VANITY_WORDS,
+)
 
 PHONE_FORMS = (
     r"(?i)\+?1?[-.\s]?\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4})",
@@ -15,27 +19,30 @@ PHONE_FORMS = (
     r"(?i)\b1[-.\s]?800[-.\s]?[A-Z]{3}[-.\s]?[A-Z]{4}\b",
 )
 CLOUDFLARE = "/cdn-cgi/l/email-protection#"
+#: placeholder phones, letters and digits only
+PLAIN_PHONES = tuple(dict.fromkeys(re.sub("[^0-9a-z]", "", x.lower()) for x in PLACEHOLDER_PHONES))
 
 
 def is_generic_phone(c: Column, contained: bool = False) -> Column:
-    """Whether a number is a placeholder, or seven digits or more all alike; ``contained`` (extended) also if it holds one."""
+    """Whether a number is a placeholder, or seven digits or more all alike; ``contained`` (extended) also if it holds one as written."""
     norm = F.lower(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
     alike = let(F.regexp_replace(c, "[^0-9]", ""), lambda d: (F.length(d) >= 7) & (F.length(F.replace(d, F.substring(d, 1, 1), F.lit(""))) == 0))
-    listed = F.regexp_like(norm, F.lit("|".join(PLACEHOLDER_PHONES))) if contained else norm.isin(*PLACEHOLDER_PHONES)
+    listed = norm.isin(*PLAIN_PHONES)
+    if contained:
+        listed = listed | F.regexp_like(F.lower(c), F.lit("|".join(rf"\Q{x}\E" for x in PLACEHOLDER_PHONES)))
     return F.coalesce(listed | alike, F.lit(False))
 
 
 def is_generic_email(c: Column, extended: bool = False) -> Column:
     """Whether an address is a placeholder, by itself, its domain or its top-level domain.
 
-    In the extended profile the top-level domain counts only with a generic name.
+    In the extended profile the top-level domain counts only below a generic name.
     """
     e = F.lower(c)
     domain = F.get(F.split(e, "@"), F.lit(1))
     ending = F.regexp_like(domain, F.lit("(" + "|".join(t.replace(".", r"\.") for t in PLACEHOLDER_TLDS) + ")$"))
     if extended:
-        names = sorted({x.split("@")[0] for x in PLACEHOLDER_EMAILS if "@" in x})
-        ending = ending & F.get(F.split(e, "@"), F.lit(0)).isin(*names)
+        ending = ending & F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1).isin(*PLACEHOLDER_EMAIL_DOMAINS, *PLACEHOLDER_TLD_NAMES)
     return F.coalesce(e.isin(*PLACEHOLDER_EMAILS), F.lit(False)) | F.coalesce(domain.isin(*PLACEHOLDER_EMAIL_DOMAINS) | ending, F.lit(False))
 
 
@@ -57,6 +64,23 @@ def clean_phone(c: Column) -> Column:
     return F.regexp_replace(x, r"(?<=(?:^| )[A-Z]{2,20}) (?=[A-Z]{2,}(?: |$))", "")
 
 
+def clean_phone_extended(c: Column) -> Column:
+    """More of what surrounds a number taken off: labels, extensions, words that trail it; its parts joined by hyphens.
+
+    A word trails if it is all letters, belongs to no vanity number and follows
+    letters or digits. Letters of vanity numbers are run together in upper case.
+    """
+    x = F.trim(F.regexp_replace(c, rf"(?i)^(?:{'|'.join(PHONE_LABELS)})[\s:.\-]*", ""))
+    extension = F.regexp_replace(x, r"(?i)\s*(?:ext|extension|#)\.?\s*\d{1,5}\s*$", "")
+    x = F.trim(F.when(extension != x, extension).otherwise(F.regexp_replace(x, r"(?i)\s+x\.?\s*\d{1,5}\s*$", "")))
+    x = F.regexp_replace(x, rf"(?i)(?:(?<=[0-9A-Za-z-]{{2}})\s+[.,;:!?()]*(?!(?:{'|'.join(VANITY_WORDS)})\b)\p{{L}}{{2,}}[.,;:!?()]*)+$", "")
+    x = F.upper(F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*-\s*", " - "), r"\s+", " ")))
+    x = F.regexp_replace(x, r"(?<=(?:^| )[A-Z]{2,20}) (?=[A-Z]{2,}(?: |$))", "")
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?<=[0-9A-Z]) (?=[0-9A-Z])", "-"), " ", ""), "--", "-")
+    x = F.when(F.startswith(x, F.lit("+")), F.nullif(F.concat(F.lit("+"), F.regexp_replace(F.substring(x, 2, 1_000_000), r"^[^\w-]+|[^\w-]+$", "")), F.lit("+"))).otherwise(F.regexp_replace(x, r"^[^\w+-]+|[^\w-]+$", ""))
+    return F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("TOLL-FREE"), F.lit("TOLLFREE")), F.lit("FLOW-ERS"), F.lit("FLOWERS"))
+
+
 def to_e164(c: Column) -> Column:
     """A number in E.164, or null if it is none, or a placeholder.
 
@@ -79,6 +103,30 @@ def to_e164(c: Column) -> Column:
     return let(clean_phone(c), read)
 
 
+def parse_phone(c: Column) -> Column:
+    """A number of seven digits or more that neither is nor holds a placeholder, in E.164; null for all else."""
+    return let(F.trim(c), lambda x: F.when((F.length(F.regexp_replace(x, "[^0-9]", "")) >= 7) & ~is_generic_phone(x, True), to_e164(x)))
+
+
+def scanned_phones(c: Column) -> Column:
+    """Numbers that the phone forms find in a text, checked as written and as parsed; in order, repeats included."""
+
+    def read(m: Column) -> Column:
+        return let(to_e164(m), lambda e: F.when(~is_generic_phone(clean_phone_extended(m), True) & ~is_generic_phone(e, True), parse_phone(e)))
+
+    return F.transform(phone_candidates(c), read)
+
+
+def linked_phones(href: Column) -> Column:
+    """The number of a ``tel:`` link."""
+    return let(clean_phone_extended(F.replace(href, F.lit("tel:"), F.lit(""))), parse_phone)
+
+
+def first_seen(c: Column) -> Column:
+    """Distinct values in the order they were first seen, without nulls."""
+    return F.array_distinct(F.filter(c, lambda x: x.isNotNull()))
+
+
 def distinct_sorted(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
 
@@ -114,6 +162,38 @@ def address_shaped(c: Column) -> Column:
     return F.coalesce((F.length(c) >= 10) & (F.regexp_like(c, F.lit(r"(?U)\d+\s+\w+.*\b[A-Z]{2}\b\s+\d{5}")) | F.regexp_like(c, F.lit(r"(?U)\d+.*\w+.*\d{5}"))), F.lit(False))
 
 
+_STREETS = "street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|way|court|ct|place|pl|square|sq|parkway|pkwy|highway|hwy|terrace|ter|circle|cir"
+_UNITS = "apt|apartment|suite|ste|unit|floor|fl|room|rm"
+#: house number, road, unit, box, city, region, code, country
+US_ADDRESS = (
+    rf"(?i)(?:\b(\d+[a-z]?(?:-\d+)?)\s+([^,\d][^,]*?)(?:,?\s+((?:(?:{_UNITS})\b\.?\s*#?\s*|#\s*)[\w-]+))?|\bp\.?\s*o\.?\s*box\s+(\w+))"
+    rf"(?:\s*,\s*|(?<=\b(?:{_STREETS})\.?)\s+)([a-z][^,\d]*?)\s*,?\s+([a-z]{{2}})\b\.?,?\s+(\d{{5}}(?:-\d{{4}})?)\b(?:,?\s*\b(usa|us|united states(?: of america)?)\b)?"
+)
+
+
+def parse_address(c: Column) -> Column:
+    """The parts of the first US address in a text: house_number, road, unit, po_box, city, state, postcode, country; null if there is none, or the text is a placeholder.
+
+    The city stands after a comma, or after a road that ends in a word for one.
+    """
+    names = ("house_number", "road", "unit", "po_box", "city", "state", "postcode")
+
+    def read(x: Column) -> Column:
+        part = lambda k: F.nullif(F.trim(F.regexp_extract(x, US_ADDRESS, k)), F.lit(""))
+        parts = F.struct(*[part(k + 1).alias(n) for k, n in enumerate(names)], F.lit("US").alias("country"))
+        return F.when(F.regexp_like(x, F.lit(US_ADDRESS)) & ~F.lower(x).isin(*PLACEHOLDER_ADDRESSES), parts)
+
+    return let(clean_text(c), read)
+
+
+def format_address(a: Column) -> Column:
+    """Parts as one line: house, road and unit, or the box; city, region with code; the country if it is another."""
+    road = F.when(a["road"].isNotNull(), F.concat_ws(" ", a["house_number"], a["road"], a["unit"])).otherwise(F.concat(F.lit("PO Box "), a["po_box"]))
+    area = F.nullif(F.concat_ws(", ", a["city"], F.nullif(F.concat_ws(" ", a["state"], a["postcode"]), F.lit(""))), F.lit(""))
+    abroad = F.when(~F.upper(a["country"]).isin("US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"), a["country"])
+    return F.when(road.isNotNull() & (a["city"].isNotNull() | a["postcode"].isNotNull()), F.concat_ws(", ", road, area, abroad))
+
+
 def postal_address(street: Column, city: Column, region: Column, code: Column) -> Column:
     """Marked-up parts as one line, if there are two parts or more."""
     tail = F.coalesce(F.concat_ws(" ", region, code), F.lit(""))

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link meta nextid param source spacer track wbr".split())
 DASHES = str.maketrans(dict.fromkeys("‑–—−‒―‐", "-"))
-_ADDRESS = "street STRING, city STRING, region STRING, code STRING"
+_ADDRESS = "street STRING, city STRING, region STRING, code STRING, whole STRING"
 CANDIDATES = (
     "site_name STRING, org_name STRING, og_title STRING, title STRING, footer STRING, h1 STRING,"
     " links ARRAY<STRING>, link_texts ARRAY<STRING>, phone_texts ARRAY<STRING>, email_texts ARRAY<STRING>,"
     f" addresses ARRAY<STRUCT<{_ADDRESS}>>, address_texts ARRAY<STRING>,"
-    " og_description STRING, description STRING, twitter_description STRING, canonical STRING, protected ARRAY<STRING>"
+    " og_description STRING, description STRING, twitter_description STRING, canonical STRING, protected ARRAY<STRING>,"
+    " tel_texts ARRAY<STRING>, wide_texts ARRAY<STRING>, mail_texts ARRAY<STRING>, place_texts ARRAY<STRING>"
 )
 
 
@@ -72,7 +73,7 @@ class Tree(HTMLParser):
         self.here.kids.append(data)
 
 
-def text_of(e: Element | None) -> str | None:
+def text_of(e: Element | None, but: list[Element] = ()) -> str | None:
     """Texts below an element, stripped and joined by spaces, without scripts and styles; NFKC, plain hyphens, white space collapsed."""
     if e is None:
         return None
@@ -83,7 +84,7 @@ def text_of(e: Element | None) -> str | None:
         if isinstance(x, str):
             if s := x.strip():
                 pieces.append(s)
-        elif x is e or x.tag not in ("script", "style", "template"):
+        elif x is e or x.tag not in ("script", "style", "template") and x not in but:
             stack.extend(reversed(x.kids))
     text = unicodedata.normalize("NFKC", " ".join(pieces)).translate(DASHES)
     return " ".join(text.split()) or None
@@ -98,8 +99,8 @@ def below(e: Element, tree: Tree) -> list[Element]:
     return out
 
 
-def candidates(page: str | None) -> tuple:
-    """Values of CANDIDATES for a page."""
+def candidates(page: str | None, extended: bool = False) -> tuple:
+    """Values of CANDIDATES for a page; the last four lists only for the extended profile."""
     tree = Tree(page or "")
     all_ = tree.all
     first = lambda fits, among=all_: next((e for e in among if fits(e)), None)
@@ -120,22 +121,34 @@ def candidates(page: str | None) -> tuple:
     places = [e for e in all_ if e.tag in ("address", "footer") or {"address", "location"} & set(e.attrs.get("class", "").split()) or named(e, "addr")]
     listed = lambda es, fits=lambda t: True: list(dict.fromkeys(t for e in es if (t := text(e)) and fits(t)))
     digits = lambda t: any(c.isdigit() for c in t)
+    wide: tuple = ([], [], [], [])
+    if extended:
+        blocks = [e for e in all_ if "PostalAddress" in e.attrs.get("itemtype", "")]
+        either = lambda e, *parts: any(p in e.attrs.get(k, "") for p in parts for k in ("class", "id"))
+        spots = [e for e in all_ if e not in blocks and (e in places or "addr" in e.attrs.get("id", "") or {"contact-info", "contact-details", "widget_contact_info"} & set(e.attrs.get("class", "").split()) or e.tag == "div" and e.attrs.get("itemtype") == "http://schema.org/Organization")]
+        wide = (
+            listed([e for e in anchors if e.attrs["href"].startswith("tel:")]),
+            listed([e for e in all_ if e.tag in ("p", "div", "span", "li", "td", "address", "footer", "header") or e.attrs.get("itemprop") == "telephone" or either(e, "contact", "phone", "tel")], digits),
+            listed([e for e in all_ if e.tag in ("p", "div", "span", "li", "td", "address", "footer", "article", "section", "a", "font")]),
+            list(dict.fromkeys(t for e in spots if (t := text_of(e, blocks)))),
+        )
     link = first(lambda e: e.tag == "link" and "canonical" in e.attrs.get("rel", "").split())
     return (
         meta("property", "og:site_name"), prop(org, "name") if org else None, meta("property", "og:title"), text_of(first(lambda e: e.tag == "title")), text_of(first(lambda e: e.tag == "footer")), text_of(first(lambda e: e.tag == "h1")),
         [e.attrs["href"] for e in anchors], listed(anchors, digits), listed(calls, digits), listed(plain),
-        [(prop(e, "streetAddress"), prop(e, "addressLocality"), prop(e, "addressRegion"), prop(e, "postalCode")) for e in all_ if "PostalAddress" in e.attrs.get("itemtype", "")], listed(places),
+        [(prop(e, "streetAddress"), prop(e, "addressLocality"), prop(e, "addressRegion"), prop(e, "postalCode"), text_of(e)) for e in all_ if "PostalAddress" in e.attrs.get("itemtype", "")], listed(places),
         meta("property", "og:description"), meta("name", "description"), meta("name", "twitter:description"), (link.attrs.get("href") or None) if link else None,
         [e.attrs["data-cfemail"] for e in all_ if "__cf_email__" in e.attrs.get("class", "").split() and e.attrs.get("data-cfemail")],
+        *wide,
     )
 
 
-def raw_candidates(html: Column) -> Column:
+def raw_candidates(html: Column, extended: bool = False) -> Column:
     """A struct of CANDIDATES for each page, made in Arrow batches."""
     names = [x.split()[0] for x in _split_top(CANDIDATES)]
 
     def run(pages: pd.Series) -> pd.DataFrame:
-        rows = [candidates(p) for p in pages]
+        rows = [candidates(p, extended) for p in pages]
         frame = pd.DataFrame(rows, columns=names, dtype=object)
         keys = [x.split()[0] for x in _ADDRESS.split(", ")]
         frame["addresses"] = [[dict(zip(keys, a)) for a in r] for r in frame["addresses"]]

@@ -33,7 +33,8 @@ def plain_hyphens(c: Column) -> Column:
 
 
 def space_before_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, " +([.,;:!?])", "$1")
+    """No white space before a full stop, comma and the like."""
+    return F.regexp_replace(c, r"\s+([.,;:!?])", "$1")
 
 
 def normalize_email(c: Column) -> Column:
@@ -55,17 +56,36 @@ def deobfuscate(c: Column) -> Column:
     return c
 
 
-#: more ways to hide the signs, of the extended profile
+# fixed values: ways to hide the signs of an address (extended profile)
 EXTENDED_SIGNS = (
-    (r"(?i)\s*[\[({<]\s*(?:at|à|arroba)\s*[\])}>]\s*", "@"), (r"\s+AT\s+", "@"), (r"\s*＠\s*", "@"), (r"(?i)\s+en\s+(?=[a-z0-9-]+\s*(?:[\[({]?dot|\.))", "@"),
-    (r"(?i)\s*[\[({<]\s*(?:dot|punto|point)\s*[\])}>]\s*", "."), (r"\s+DOT\s+", "."), (r"\s*．\s*", "."), (r"\s*@\s*", "@"), (r"(?<=@[A-Za-z0-9-]{1,60})\s*\.\s+(?=[a-z]{2,6}\b)", "."),
-)
+    (r"(?i)\s*\[\s*(?:at|@)\s*\]\s*", "@"),
+    (r"(?i)\s*\(\s*(?:at|@)\s*\)\s*", "@"),
+    (r"(?i)\s+(?:at)\s+", "@"),
+    (r"\bAT\b", "@"),
+    (r"(?i)\s*<at>\s*", "@"),
+    ("\uff20", "@"),
+    ("\ufe6b", "@"),
+    (r"(?i)&commat;", "@"),
+    (r"(?i)\s*\[\s*(?:dot|\.)\s*\]\s*", "."),
+    (r"(?i)\s*\(\s*(?:dot|\.)\s*\)\s*", "."),
+    (r"(?i)\s+(?:dot)\s+", "."),
+    (r"\bDOT\b", "."),
+    (r"(?i)\s*<dot>\s*", "."),
+    ("\u2024", "."),
+    ("\uff0e", "."),
+    (r"(?i)&period;", "."),
+    (r"\s+en\s+", "@"),
+    (r"(?i)\s+dt\s+", "."),
+    (r"\s*@\s*", "@"),
+    (r"\s*\.\s*", "."),
+)
 
 
 def deobfuscate_extended(c: Column) -> Column:
+    """The signs written out, and white space around them taken away."""
     for pattern, sign in EXTENDED_SIGNS:
         c = F.regexp_replace(c, pattern, sign)
-    return deobfuscate(c)
+    return c
 
 
 def is_generic_name(c: Column) -> Column:

@@ -52,11 +52,23 @@ def company_name_extended(c: Column, url: Column) -> Column:
     return F.get(F.array_sort(F.filter(found, fine)), F.lit(0))["name"]
 
 
-def phones(c: Column) -> Column:
-    """Numbers of telephone links, of link texts with digits, and of matches in the text elements."""
-    tel = F.transform(F.filter(c["links"], lambda h: F.startswith(h, F.lit("tel:"))), lambda h: F.replace(h, F.lit("tel:"), F.lit("")))
-    said = F.flatten(F.transform(c["phone_texts"], C.phone_candidates))
-    return C.distinct_sorted(F.transform(F.concat(tel, c["link_texts"], said), C.to_e164))
+def phones(c: Column, extended: bool = False) -> Column:
+    """Numbers of telephone links, of link texts with digits, and of matches in the text elements.
+
+    The extended profile cleans more off a number, reads a link's text as a
+    whole before it scans it, and looks into more elements.
+    """
+    tel = F.filter(c["links"], lambda h: F.startswith(h, F.lit("tel:")))
+    if not extended:
+        said = F.flatten(F.transform(c["phone_texts"], C.phone_candidates))
+        return C.distinct_sorted(F.transform(F.concat(F.transform(tel, lambda h: F.replace(h, F.lit("tel:"), F.lit(""))), c["link_texts"], said), C.to_e164))
+    texts = lambda name: C.first_seen(F.transform(c[name], text.space_before_punctuation))
+
+    def of_link(t: Column) -> Column:
+        return text.let(C.parse_phone(C.clean_phone_extended(t)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(C.scanned_phones(t)))
+
+    said = F.transform(F.filter(texts("wide_texts"), lambda t: F.length(t) >= 7), C.scanned_phones)
+    return C.distinct_sorted(F.concat(F.transform(tel, C.linked_phones), F.flatten(F.transform(texts("tel_texts"), of_link)), F.flatten(said)))
 
 
 def emails(c: Column, extended: bool = False) -> Column:
@@ -64,23 +76,41 @@ def emails(c: Column, extended: bool = False) -> Column:
     hidden = F.transform(c["links"], C.protected_link)
     linked = F.transform(c["links"], C.mail_link)
     read = text.deobfuscate_extended if extended else text.deobfuscate
-    said = F.flatten(F.transform(c["email_texts"], lambda t: F.filter(text.emails_in(read(t)), lambda e: ~C.is_generic_email(e, extended))))
+    heard = F.filter(F.transform(c["mail_texts"], text.space_before_punctuation), lambda t: F.length(t) >= 5) if extended else c["email_texts"]
+    said = F.flatten(F.transform(heard, lambda t: F.filter(text.emails_in(read(t)), lambda e: ~C.is_generic_email(e, extended))))
     all_ = F.concat(hidden, linked, said)
     if extended:
         marked = F.transform(c["protected"], lambda h: text.normalize_email(C.decode_cloudflare(h)))
-        fine = lambda e: ~F.regexp_like(e, F.lit(r"\.\.|^\.|\.@|@[.-]")) & (F.length(e) <= 254)
+        fine = lambda e: ~F.regexp_like(e, F.lit(r"\.\.|^\.|\.$|\.@|@[.-]|@localhost")) & (F.length(e) <= 254)
         all_ = F.filter(F.concat(all_, F.filter(marked, lambda e: ~C.is_generic_email(e, True))), fine)
     return C.distinct_sorted(all_)
 
 
 def addresses(c: Column, extended: bool = False) -> Column:
-    """Marked-up addresses, and the address-like texts of the usual elements."""
-    marked = F.transform(c["addresses"], lambda a: C.postal_address(a["street"], a["city"], a["region"], a["code"]))
-    found = C.distinct_sorted(F.concat(marked, F.filter(c["address_texts"], C.address_shaped)))
+    """Marked-up addresses, and the address-like texts of the usual elements.
+
+    The extended profile parses each text into parts and writes these in one
+    form: those of marked-up blocks first, then of other elements whose text no
+    address found holds, or which holds most of one.
+    """
     if not extended:
-        return found
-    # of two of which one holds the other, the shorter one goes
-    return F.filter(found, lambda a: ~F.exists(found, lambda b: (a != b) & F.contains(F.lower(b), F.lower(a))))
+        marked = F.transform(c["addresses"], lambda a: C.postal_address(a["street"], a["city"], a["region"], a["code"]))
+        return C.distinct_sorted(F.concat(marked, F.filter(c["address_texts"], C.address_shaped)))
+    read = lambda t: C.format_address(C.parse_address(text.space_before_punctuation(t)))
+
+    def of_block(a: Column) -> Column:
+        parts = F.concat_ws(", ", a["street"], a["city"], a["region"], a["code"])
+        whole = F.when((F.length(a["whole"]) >= 10) & (F.length(a["whole"]) <= 500), read(a["whole"]))
+        return F.coalesce(whole, F.when(F.length(parts) > 10, read(parts)))
+
+    def with_others(found: Column) -> Column:
+        def new(t: Column) -> Column:
+            held = F.exists(found, lambda a: F.contains(F.lower(a), F.lower(t)) | (F.contains(F.lower(t), F.lower(a)) & (F.length(a) > F.length(t) * 0.7)))
+            return (F.length(t) > 15) & (F.length(t) < 400) & ~held
+
+        return C.distinct_sorted(F.concat(found, F.transform(F.filter(c["place_texts"], new), read)))
+
+    return text.let(C.first_seen(F.transform(c["addresses"], of_block)), with_others)
 
 
 def social_links(c: Column, url: Column, extended: bool = False) -> Column:
@@ -111,11 +141,11 @@ def extract(pages: DataFrame, profile: str = STRICT, url_col: str = "url", html_
     more = profile == EXTENDED
     if profile not in (STRICT, EXTENDED):
         raise ValueError(f"no such profile: {profile}")
-    walked = pages.withColumn("c_", dom.raw_candidates(F.coalesce(F.col(html_col), F.lit(""))))
+    walked = pages.withColumn("c_", dom.raw_candidates(F.coalesce(F.col(html_col), F.lit("")), more))
     c, url = F.col("c_"), F.col(url_col)
     out = walked.withColumns({
         "company_name": company_name_extended(c, url) if more else company_name(c),
-        "phone_numbers": phones(c), "emails": emails(c, more), "addresses": addresses(c, more), "social_media_links": social_links(c, url, more),
+        "phone_numbers": phones(c, more), "emails": emails(c, more), "addresses": addresses(c, more), "social_media_links": social_links(c, url, more),
         "description": description(c), "canonical_url": canonical(c, url, more), "scraped_from_url": url,
     })
     site = urls.website_extended(F.col("canonical_url"), url) if more else urls.website(url)

@@ -206,7 +206,7 @@ def _e164(x: str) -> str:
     digits = f"regexp_replace(translate(upper({x}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '22233344455566677778889999'), '[^0-9]', '', 'g')"
     norm = f"lower(regexp_replace({x}, '[^0-9A-Za-z]', '', 'g'))"
     d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
-    return f"""CASE WHEN {norm} IN ({quoted(L.PLACEHOLDER_PHONES)}) OR (length({d}) >= 7 AND length(replace({d}, left({d}, 1), '')) = 0) THEN NULL
+    return f"""CASE WHEN {norm} IN ({quoted(C.PLAIN_PHONES)}) OR (length({d}) >= 7 AND length(replace({d}, left({d}, 1), '')) = 0) THEN NULL
       WHEN regexp_matches({digits}, '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AND (NOT starts_with({x}, '+') OR starts_with({digits}, '1')) THEN '+1' || right({digits}, 10)
       WHEN starts_with({x}, '+') AND regexp_matches({digits}, '^[2-9][0-9]{{7,14}}$') AND NOT regexp_matches({x}, '[A-Za-z]') THEN '+' || {digits} END"""
 
@@ -283,18 +283,102 @@ def page_records(spark, sf_dir):
     return _shown(extract.worth_keeping(extract.extract(made_pages(spark, sf_dir))))
 
 
-@query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Firm ' || s_suppkey || ' Ltd' ELSE 'Firm ' || s_suppkey END AS company_name, '+1415555' || right('0000' || s_suppkey, 4) AS phones,
-       'office' || s_suppkey || '@firm.org' AS emails, s_suppkey || ' Elm Street Austin TX 75001; ' || s_suppkey || ' Elm Street, Austin, TX 75001' AS addresses,
+_HOLDS_PLACEHOLDER = "'555-' || right('0000' || s_suppkey, 4) IN ('555-0100', '555-0101', '555-0199')"
+
+
+@query(f"""
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Firm ' || s_suppkey || ' Ltd' ELSE 'Firm ' || s_suppkey END AS company_name, CASE WHEN {_HOLDS_PLACEHOLDER} THEN '' ELSE '+1415555' || right('0000' || s_suppkey, 4) END AS phones,
+       'office' || s_suppkey || '@firm.org' AS emails, s_suppkey || ' Elm Street, Austin, TX 75001' AS addresses,
        'facebook=https://facebook.com/firm;linkedin=https://www.linkedin.com/company/firm' || s_suppkey || ';twitter=https://twitter.com/firm' || s_suppkey AS social,
        CASE WHEN s_suppkey % 3 = 0 THEN 'We make things since ' || s_suppkey || '.' END AS description,
        CASE WHEN s_suppkey % 5 = 0 THEN 'https://www.firm' || s_suppkey || '.org/about/' || s_suppkey END AS canonical_url, 'https://www.firm' || s_suppkey || '.org' AS website
 FROM supplier""")
 def page_records_extended(spark, sf_dir):
-    """X1 to X16 through the page walk."""
+    """X1, X4, X11, X12, X14, X16 through the page walk."""
     return _shown(extract.worth_keeping(extract.extract(made_pages(spark, sf_dir), extract.EXTENDED)))
 
 
+_WIDE = f"""'<html><head><title>News</title><link rel="canonical" href="https://main' || {_K} || '.org/x"><meta itemprop="x"></head><body itemscope itemtype="http://schema.org/LocalBusiness"><h1 itemprop="legalName">Alpha ' || {_K} || ' Works</h1>' ||
+'<ul><li>Tel. 212-555-' || right('0000' || {_K}, 4) || ' x12</li><li>555-0100</li></ul><table><tr><td>write x' || {_K} || ' AT firm DOT org , or z@mail.test</td></tr></table>' ||
+'<p class="location">' || {_K} || ' Main Road , Suite 5, Boston, MA 02101</p><a href="tel:Phone: 415-555-' || right('0000' || {_K}, 4) || ' office">ring</a><a href="https://www.facebook.com/profile.php?id=' || {_K} || '">f</a></body></html>'"""
+
+
+@query(f"""
+SELECT s_suppkey, 'Alpha ' || s_suppkey || ' Works' AS company_name, CASE WHEN {_HOLDS_PLACEHOLDER} THEN '' ELSE '+1212555' || right('0000' || s_suppkey, 4) || '; +1415555' || right('0000' || s_suppkey, 4) END AS phones,
+       'x' || s_suppkey || '@firm.org; z@mail.test' AS emails, s_suppkey || ' Main Road Suite 5, Boston, MA 02101' AS addresses,
+       'facebook=https://www.facebook.com/profile.php?id=' || s_suppkey AS social, NULL AS description, 'https://main' || s_suppkey || '.org/x' AS canonical_url, 'https://main' || s_suppkey || '.org' AS website
+FROM supplier""")
+def page_records_wide(spark, sf_dir):
+    """Pages of which the strict profile reads next to nothing."""
+    pages = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('https://www.firm', s_suppkey, '.org/index.html') AS url", f"{_WIDE} AS html")
+    return _shown(extract.extract(pages, extract.EXTENDED))
+
+
+_RAW_PHONES = """CASE c_custkey % 6 WHEN 0 THEN 'Phone: (415) 555-' || right('0000' || c_custkey, 4) || ' ext. 12' WHEN 1 THEN 'call now 1 800 FLOWERS please' WHEN 2 THEN '+1 415-555-' || right('0000' || c_custkey, 4) || ' office hours'
+  WHEN 3 THEN 'Fax 415 555 ' || right('0000' || c_custkey, 4) || ' x5' WHEN 4 THEN 'toll-free: 1-800-FLOW-ERS' ELSE '1 800 GOOD BOY' END"""
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '415)555-' || right('0000' || c_custkey, 4) WHEN 2 THEN '+1-415-555-' || right('0000' || c_custkey, 4) WHEN 3 THEN '415-555-' || right('0000' || c_custkey, 4) WHEN 5 THEN '1-800' ELSE '1-800-FLOWERS' END AS cleaned FROM customer""")
+def phones_cleaned(spark, sf_dir):
+    """X5."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_RAW_PHONES} AS raw").select("c_custkey", C.clean_phone_extended(F.col("raw")).alias("cleaned"))
+
+
+_CONTAINED = f"regexp_matches(lower(raw), '{'|'.join(x.replace('(', chr(92) + '(').replace(')', chr(92) + ')').replace('.', chr(92) + '.').replace('+', chr(92) + '+') for x in L.PLACEHOLDER_PHONES)}')"
+
+
+@query(f"SELECT c_custkey, raw, {_CONTAINED} OR {_e164('raw')} IS NULL AND regexp_replace(raw, '[^0-9]', '', 'g') IN ('5555555555', '8005550100', '9999999') AS generic, CASE WHEN length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 7 AND NOT {_CONTAINED} THEN {_e164('raw')} END AS phone FROM (SELECT c_custkey, {_PHONES} AS raw FROM customer)")
+def phones_parsed(spark, sf_dir):
+    """X1, X6."""
+    raw = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_PHONES} AS raw")
+    return raw.select("c_custkey", "raw", C.is_generic_phone(F.col("raw"), True).alias("generic"), C.parse_phone(F.col("raw")).alias("phone"))
+
+
+_PLACES = """CASE s_suppkey % 5 WHEN 0 THEN s_suppkey || ' Main Road, Apt 4, Austin, TX 75001' WHEN 1 THEN 'PO Box ' || s_suppkey || ', Boston, MA 02101-1234' WHEN 2 THEN '123 Main Street, Anytown, CA 12345'
+  WHEN 3 THEN 'Visit us: ' || s_suppkey || ' Elm Street Austin TX 75001, USA' ELSE 'room ' || s_suppkey || ', no code' END"""
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_suppkey || '' WHEN 3 THEN s_suppkey || '' END AS house_number, CASE s_suppkey % 5 WHEN 0 THEN 'Main Road' WHEN 3 THEN 'Elm Street' END AS road, CASE s_suppkey % 5 WHEN 0 THEN 'Apt 4' END AS unit,
+  CASE s_suppkey % 5 WHEN 0 THEN '75001' WHEN 1 THEN '02101-1234' WHEN 3 THEN '75001' END AS postcode,
+  CASE s_suppkey % 5 WHEN 0 THEN s_suppkey || ' Main Road Apt 4, Austin, TX 75001' WHEN 1 THEN 'PO Box ' || s_suppkey || ', Boston, MA 02101-1234' WHEN 3 THEN s_suppkey || ' Elm Street, Austin, TX 75001' END AS line FROM supplier""")
+def addresses_parsed(spark, sf_dir):
+    """X9, X10."""
+    parts = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{_PLACES} AS t").select("s_suppkey", C.parse_address(F.col("t")).alias("a"))
+    return parts.select("s_suppkey", "a.house_number", "a.road", "a.unit", "a.postcode", C.format_address(F.col("a")).alias("line"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(replace(text, '.', ' .'), '\s+([.,;:!?])', '\1', 'g')) AS digest FROM documents")
+def tight_punctuation(spark, sf_dir):
+    """X3."""
+    spaced = F.replace("text", F.lit("."), F.lit(" ."))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.space_before_punctuation(spaced).cast("binary")).alias("digest"))
+
+
+_HARD_MAILS = "CASE s_suppkey % 6 WHEN 0 THEN 'mail a' || s_suppkey || ' AT firm DOT org' WHEN 1 THEN 'b' || s_suppkey || ' [ @ ] shop (.) net' WHEN 2 THEN 'c' || s_suppkey || ' en acme dt com' WHEN 3 THEN 'd' || s_suppkey || '＠x．org' WHEN 4 THEN 'e' || s_suppkey || '&commat;y&period;org' ELSE 'f' || s_suppkey || ' <at> z <dot> org' END"
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'a' || s_suppkey || '@firm.org' WHEN 1 THEN 'b' || s_suppkey || '@shop.net' WHEN 2 THEN 'c' || s_suppkey || '@acme.com' WHEN 3 THEN 'd' || s_suppkey || '@x.org' WHEN 4 THEN 'e' || s_suppkey || '@y.org' ELSE 'f' || s_suppkey || '@z.org' END AS email FROM supplier")
+def emails_hidden_harder(spark, sf_dir):
+    """X8."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{_HARD_MAILS} AS t").select("s_suppkey", F.explode(text.emails_in(text.deobfuscate_extended(F.col("t")))).alias("email"))
+
+
+_TLD_MAILS = "CASE s_suppkey % 5 WHEN 0 THEN 'me@yourname.test' WHEN 1 THEN 'x@mail.example' WHEN 2 THEN 'y@domain.com' WHEN 3 THEN 'z@Sample.invalid' ELSE 'sales@firm.com' END"
+
+
+@query(f"SELECT s_suppkey, s_suppkey % 5 IN (0, 2, 3) AS generic FROM (SELECT s_suppkey, {_TLD_MAILS} AS e FROM supplier)")
+def generic_email_extended(spark, sf_dir):
+    """X2."""
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{_TLD_MAILS} AS e").select("s_suppkey", C.is_generic_email(F.col("e"), True).alias("generic"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'b,a' ELSE 'c,b,a' END AS seen FROM supplier")
+def first_seen_order(spark, sf_dir):
+    """X15."""
+    made = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 2 = 0 THEN array('b', 'a', NULL, 'b') ELSE array('c', 'b', 'c', 'a', 'b') END AS v")
+    return made.select("s_suppkey", F.array_join(C.first_seen(F.col("v")), ",").alias("seen"))
+
+
 def _shown(records: DataFrame) -> DataFrame:
     pairs = F.transform(F.array_sort(F.map_entries("social_media_links")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return records.select(
@@ -322,7 +406,18 @@ def page_memo_by_md5(spark, sf_dir):
     return done.groupBy(F.col("md5").alias("digest")).agg(F.count("*").alias("n_pages"), F.max("n").alias("n"))
 
 
-@query()
+_MARKED = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>|<!--.*?-->', '', 'g')"
+for _level in range(1, 7):
+    _MARKED = f"regexp_replace({_MARKED}, '(?i)<h{_level}\\b[^>]*>', chr(10) || chr(10) || '{'#' * _level} ', 'g')"
+_MARKED = f"regexp_replace({_MARKED}, '(?is)<li\\b[^>]*>', chr(10) || '- ', 'g')"
+_MARKED = f"""regexp_replace({_MARKED}, '(?is)<a\\b[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"""
+_MARKED = f"regexp_replace({_MARKED}, '(?is)<br\\s*/?>|</(p|div|tr|ul|ol|h[1-6]|article|section|footer|header|nav)\\s*>', chr(10), 'g')"
+_MARKED = f"regexp_replace(regexp_replace({_MARKED}, '(?s)<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g')"
+_MARKED = f"regexp_replace(regexp_replace({_MARKED}, '\\n\\s*\\n\\s*', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT page_id, length(t)::BIGINT AS n, md5('List the businesses on this page as JSON.' || chr(10) || chr(10) || 'URL: ' || url || chr(10) || chr(10) || t) AS digest
+FROM (SELECT page_id, url, CASE WHEN length(m) > {text.PAGE_LIMIT} THEN left(m, {text.PAGE_LIMIT}) || chr(10) || chr(10) || '[Content truncated]' ELSE m END AS t FROM (SELECT page_id, url, {_MARKED} AS m FROM pages))""")
 def page_markdown(spark, sf_dir):
     """Pages as prompts of bounded length."""
     body = text.shortened(text.markdown(F.col("html")))
@@ -410,13 +505,61 @@ def upsert_leads(spark, sf_dir):
     return upserted(spark, sf_dir).select("id", "company_name", "website", F.concat_ws(",", "emails").alias("emails"), "chamber_name", "action")
 
 
-@query(_B + f""", d AS (SELECT name, site, min(seq) AS seq FROM n WHERE (name IS NOT NULL OR site IS NOT NULL) GROUP BY lower(trim(coalesce(name, ''))), lower(trim(coalesce(site, ''))), name, site)
-SELECT count(*)::BIGINT AS attempted, count(DISTINCT {_HASH}) FILTER (name IS NOT NULL OR site IS NOT NULL) AS identities, count(*) FILTER (name IS NULL AND site IS NULL) AS unidentified FROM n""")
+_OWN = "CASE WHEN s_suppkey % 7 = 0 THEN 'Old ' || s_suppkey ELSE 'Firm ' || (s_suppkey * 3) END"
+_APART = f"""
+WITH l AS (SELECT s_suppkey AS id, {_OWN} AS company_name, CASE WHEN s_suppkey % 7 = 0 THEN 'https://old' || s_suppkey || '.com' ELSE 'https://firm' || (s_suppkey * 3) || '.com' END AS website FROM supplier),
+c AS (SELECT c_custkey AS seq, 'Firm ' || c_custkey AS company_name, 'https://firm' || c_custkey || '.com' AS website, 'm' || c_custkey || '@firm.org' AS emails FROM customer),
+u AS (SELECT id, l.company_name, l.website, coalesce(emails, '') AS emails, CASE WHEN seq IS NULL THEN 'keep' ELSE 'update' END AS action FROM l LEFT JOIN c USING (company_name)
+UNION ALL SELECT (SELECT max(id) FROM l) + row_number() OVER (ORDER BY seq), company_name, website, emails, 'insert' FROM c WHERE company_name NOT IN (SELECT company_name FROM l))
+"""
+
+
+def upserted_apart(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What comes in, and the leads after it, where every record meets one lead or none."""
+    made = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS seq", "c_nationkey AS chamber_seq", "concat('Firm ', c_custkey) AS name", "concat('firm', c_custkey, '.com') AS website", "'' AS phone", "concat('m', c_custkey, '@firm.org') AS email",
+        "CAST(NULL AS STRING) AS address", "c_mktsegment AS industry", "'https://chamber.org/list' AS source_url", "'Chamber' AS chamber_name", "'https://chamber.org' AS chamber_url",
+    )
+    number = "CASE WHEN id % 7 = 0 THEN concat('{0}', id) ELSE concat('{1}', id * 3) END"
+    leads = existing_leads(spark, sf_dir).withColumns({"company_name": F.expr(number.format("Old ", "Firm ")), "website": F.concat(F.expr(number.format("https://old", "https://firm")), F.lit(".com"))})
+    incoming = resolve.dedupe_by_hash(resolve.identified(resolve.normalized(made)))
+    return made, resolve.upsert(leads, incoming)
+
+
+@query(_APART + "SELECT * FROM u")
+def upsert_apart(spark, sf_dir):
+    """An upsert whose records do not meet one another."""
+    return upserted_apart(spark, sf_dir)[1].select("id", "company_name", "website", F.concat_ws(",", "emails").alias("emails"), "action")
+
+
+@query(_APART + "SELECT (SELECT count(*) FROM c) AS total_attempted, count(*) FILTER (action = 'insert') AS successful_inserts, count(*) FILTER (action = 'update') AS successful_updates, 0::BIGINT AS duplicates_skipped, 0::BIGINT AS errors FROM u")
 def upsert_counters(spark, sf_dir):
-    """What comes in, by identity."""
-    n = resolve.normalized(businesses(spark, sf_dir))
-    known = text.filled(F.col("company_name")) | text.filled(F.col("website"))
-    return n.agg(F.count("*").alias("attempted"), F.count_distinct(F.when(known, resolve.identity_hash(F.col("website"), F.col("company_name")))).alias("identities"), F.count_if(~known).alias("unidentified"))
+    """What an upsert did."""
+    made, after = upserted_apart(spark, sf_dir)
+    done = resolve.counters(made, after, skipped=0, valid=made.count())
+    return spark.createDataFrame([tuple(int(v) for v in done.values())], ", ".join(f"{k} BIGINT" for k in done))
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (event_id % 3 = 0) AS saved, count(*) FILTER (event_id % 3 <> 0) AS failed FROM events")
+def run_totals(spark, sf_dir):
+    """Pages without an outcome count as failed."""
+    return report.run_summary(table(spark, sf_dir, "events").selectExpr("CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS saved"))
+
+
+@query("SELECT 1200::BIGINT AS total_processed, 4.0::DOUBLE AS elapsed_time_seconds, 300.0::DOUBLE AS processing_rate_per_second, count(DISTINCT c_nationkey)::BIGINT AS unique_hashes_tracked FROM customer")
+def session_performance(spark, sf_dir):
+    """A10."""
+    return report.performance(1200, 4.0, table(spark, sf_dir, "customer").selectExpr("md5(cast(c_nationkey AS string)) AS hash"))
+
+
+@query("SELECT 'https://c' || n_nationkey || '.org' AS chamber_url, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Unknown Chamber' END AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'https://own.org' ELSE 'https://c' || n_nationkey || '.org' END AS website, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS n_phones, 0::BIGINT AS n_emails FROM nation")
+def chamber_records(spark, sf_dir):
+    """P2."""
+    made = table(spark, sf_dir, "nation").selectExpr(
+        "concat('https://c', n_nationkey, '.org') AS url", "CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 2 THEN n_name WHEN 1 THEN '' END AS company_name", "CASE WHEN n_nationkey % 3 = 0 THEN 'https://own.org' END AS website",
+        "CASE WHEN n_nationkey % 5 = 0 THEN array('+14155550123') END AS phone_numbers", "CAST(NULL AS array<string>) AS emails", "CAST(NULL AS array<string>) AS addresses", "'d' AS description", "CAST(NULL AS map<string,string>) AS social_media_links",
+    )
+    return directory.chamber_info(made).select("chamber_url", "name", "website", F.size("phone_numbers").cast("long").alias("n_phones"), F.size("emails").cast("long").alias("n_emails"))
 
 
 @query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch FROM orders")
@@ -571,7 +714,7 @@ def fetch_status_map(spark, sf_dir):
 
 @query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_id % 4 <> 0 AND 190 + event_id % 120 BETWEEN 200 AND 299")
 def status_gate(spark, sf_dir):
-    """F2, A9."""
+    """F2."""
     pages = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 4 <> 0 THEN 'x' ELSE '' END AS html", "190 + event_id % 120 AS status_code")
     return fetch.successful(pages).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 

@@ -1,8 +1,9 @@
 """The stored table of leads: reading, appending, replacing, exporting.
 
 Plain Parquet has no transactions, so a table is a folder of versions: each
-write that replaces goes to a new version, and a pointer file moves after it
-is complete. Readers see the old or the new one, never a mixture.
+write that replaces goes to a new version, and a numbered pointer is added by
+one rename after it is complete. Readers follow the newest pointer, so they see
+the old or the new version, never a mixture, and never none.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ class Leads:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _pointers(self) -> list[str]:
         fs, path = self._fs()
-        found = path(f"{self.path}/current")
-        if not fs.exists(found):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+        if not fs.exists(path(self.path)):
+            return []
+        return sorted(n for x in fs.listStatus(path(self.path)) if (n := x.getPath().getName()).startswith("p-"))
+
+    def _version(self) -> str | None:
+        found = self._pointers()
+        return self.spark.read.text(f"{self.path}/{found[-1]}").first()[0] if found else None
 
     def create(self) -> None:
         """An empty table, if there is none."""
@@ -47,18 +51,21 @@ class Leads:
         """All rows of the table; the version before stays until ``vacuum``."""
         version = f"v-{uuid.uuid4().hex}"
         rows.select(*LEAD_COLUMNS).write.parquet(f"{self.path}/{version}")
-        # one small file, written aside and renamed over the pointer
+        # written aside, and renamed to a name that none has yet
         fs, path = self._fs()
         self.spark.createDataFrame([(version,)], "v STRING").coalesce(1).write.text(f"{self.path}/.next-{version}")
-        fs.delete(path(f"{self.path}/current"), True)
-        fs.rename(path(f"{self.path}/.next-{version}"), path(f"{self.path}/current"))
+        last = self._pointers()
+        number = int(last[-1][2:]) + 1 if last else 0
+        name = path(f"{self.path}/p-{number:012d}")
+        if fs.exists(name) or not fs.rename(path(f"{self.path}/.next-{version}"), name):
+            raise RuntimeError(f"another writer replaced the table at {self.path}")
 
     def vacuum(self) -> None:
         fs, path = self._fs()
         keep = self._version()
         for x in fs.listStatus(path(self.path)):
             name = x.getPath().getName()
-            if name.startswith("v-") and name != keep:
+            if name.startswith("v-") and name != keep or name in self._pointers()[:-1] or name.startswith(".next-"):
                 fs.delete(x.getPath(), True)
 
     def append(self, records: DataFrame, now: Column | None = None) -> DataFrame:
