@@ -42,6 +42,29 @@ def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"), TOOLS)
 
 
+def tool_calls_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linking, order and schemas on calls and results that are made from every user's turn of `conversations`."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("t")).distinct()
+    calls = F.format_string('{"content":null,"tool_calls":[{"id":"b%d","name":"lookup","arguments":{"id":"${a%d}"}},{"id":"a%d","function":{"name":"search","arguments":"{\\"query\\": \\"q%d\\", \\"limit\\": %d}"}}]}', "t", "t", "t", "t", F.col("t") % 3)
+    said = [
+        ("assistant", calls), ("tool", F.format_string('{"tool_call_id":"b%d","content":"second"}', "t")), ("tool", F.format_string('{"tool_call_id":"a%d","content":{"z":1,"a":[2]}}', "t")),
+        ("tool", F.lit('{"tool_call_id":"nobody","content":null}')), ("assistant", F.format_string("plain %d", "t")),
+    ]
+    made = turns.select("conv_id", F.explode(F.array(*[F.struct((F.col("t") * 10 + k).alias("turn"), F.lit(role).alias("role"), text.alias("text")) for k, (role, text) in enumerate(said)])).alias("m")).select("conv_id", "m.*")
+    return chat.link(made, TOOLS)
+
+
+LINKED_SQL = """
+WITH u AS (SELECT DISTINCT conv_id, turn::BIGINT AS t FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT conv_id, t * 10 AS turn, 'assistant' AS role, t * 10 AS order_turn, 0::BIGINT AS order_pos, 2::BIGINT AS n_calls, 2::BIGINT AS n_answered, CASE WHEN t % 3 = 0 THEN 'a' || t || ': $.limit: below minimum' ELSE '' END AS errors, 'calls' AS status,
+       '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"limit":' || (t % 3) || ',"query":"q' || t || '"},"id":"a' || t || '","name":"search"},{"arguments":{"id":"${a' || t || '}"},"id":"b' || t || '","name":"lookup"}]}' AS message FROM u
+UNION ALL SELECT conv_id, t * 10 + 1, 'tool', t * 10, 2, 0, 0, '', 'result', '{"call":{"name":"lookup","turn":' || (t * 10) || '},"content":"second","role":"tool","tool_call_id":"b' || t || '"}' FROM u
+UNION ALL SELECT conv_id, t * 10 + 2, 'tool', t * 10, 1, 0, 0, '', 'result', '{"call":{"name":"search","turn":' || (t * 10) || '},"content":{"a":[2],"z":1},"role":"tool","tool_call_id":"a' || t || '"}' FROM u
+UNION ALL SELECT conv_id, t * 10 + 3, 'tool', t * 10 + 3, 0, 0, 0, '', 'orphan', '{"content":null,"role":"tool","tool_call_id":"nobody"}' FROM u
+UNION ALL SELECT conv_id, t * 10 + 4, 'assistant', t * 10 + 4, 0, 0, 0, '', 'plain', '{"content":"plain ' || t || '","role":"assistant"}' FROM u
+"""
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every url of `pages`."""
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -74,5 +97,5 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_best_fit_packing, op3_quality_line_crf, op4_tool_call_linking, op5_url_reputation, op6_html_wrapper_extraction, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
-ORACLES: dict[str, str] = {"op5_url_reputation": url_reputation.SQL, "op8_line_chunk_dedup": line_dedup.SQL, "op9_secret_ledger": secret_scan.SQL, "op10_spaced_seed_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_best_fit_packing, op3_quality_line_crf, op4_tool_call_linking, tool_calls_linked, op5_url_reputation, op6_html_wrapper_extraction, op7_simhash_anchor_dedup, op8_line_chunk_dedup, op9_secret_ledger, op10_spaced_seed_decontamination)}
+ORACLES: dict[str, str] = {"tool_calls_linked": LINKED_SQL, "op5_url_reputation": url_reputation.SQL, "op8_line_chunk_dedup": line_dedup.SQL, "op9_secret_ledger": secret_scan.SQL, "op10_spaced_seed_decontamination": decontamination.SQL}

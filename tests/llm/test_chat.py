@@ -116,3 +116,9 @@ def test_query(spark):
     want = sorted(((r.conv_id, r.turn, chat.canonical({"role": r.role, "content": r.text})) for r in said if not (r.text or "").lstrip().startswith("{")), key=repr)
     got = queries.op4_tool_call_linking(spark, plain.SMALL)
     assert got.count() == len(said) and set(want) <= set(plain.rows(got, "conv_id", "turn", "message"))
+
+
+@pytest.mark.skipif(not plain.have_data(), reason="the driver's tables are not here")
+def test_calls_against_sql(spark):
+    got, want = plain.against_sql(spark, queries.tool_calls_linked, queries.LINKED_SQL)
+    assert got == want and len(got) > 100
