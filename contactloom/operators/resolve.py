@@ -157,12 +157,17 @@ def fold(rows: list[dict], update_existing: bool) -> tuple[list[dict], int, int,
 def upsert(leads: DataFrame, incoming: DataFrame, update_existing: bool = True, now: Column | None = None) -> DataFrame:
     """Leads after ``incoming(seq, ...)`` came in by seq, with ``action``: insert, update or keep.
 
-    Rows that could ever meet share a block, so each block is folded by itself
-    (see ``blocks``); blocks of a single row, nearly all of them, are decided
-    without it. New ids follow the largest one in the order of seq.
+    A record meets leads that have its website or its name, so leads with no
+    value of what comes in are kept as they are and take no part. Rows that
+    could ever meet share a block, so each block is folded by itself (see
+    ``blocks``); blocks of a single row, nearly all of them, are decided without
+    it. New ids follow the largest one in the order of seq.
     """
     now = now if now is not None else F.current_timestamp()
-    stored = leads.select(F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("node"), F.col("id"), F.lit(None).cast("long").alias("seq"), *DATA_COLUMNS, "created_at", "updated_at")
+    shares = lambda key: leads.join(incoming.where(f"{key} is not null").select(key).distinct(), key, "left_semi").select("id")
+    met_ids = cut(shares("website").unionByName(shares("company_name")).distinct())
+    apart = leads.join(met_ids, "id", "left_anti").select("id", *DATA_COLUMNS, "created_at", "updated_at", F.lit("keep").alias("action"))
+    stored = leads.join(met_ids, "id", "left_semi").select(F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("node"), F.col("id"), F.lit(None).cast("long").alias("seq"), *DATA_COLUMNS, "created_at", "updated_at")
     came = incoming.select(F.concat(F.lit("r"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("node"), F.lit(None).cast("long").alias("id"), F.col("seq").cast("long"), *DATA_COLUMNS, F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
     rows = cut(stored.unionByName(came))
     placed = cut(rows.join(blocks(rows.select("node", "website", "company_name")), "node"))
@@ -201,7 +206,7 @@ def upsert(leads: DataFrame, incoming: DataFrame, update_existing: bool = True,
         "id", *DATA_COLUMNS,
         F.when(F.col("action") == "insert", now).otherwise(F.col("created_at")).alias("created_at"),
         F.when(F.col("action") != "keep", now).otherwise(F.col("updated_at")).alias("updated_at"), "action",
-    )
+    ).unionByName(apart)
 
 
 def _numbered(rows: DataFrame, leads: DataFrame) -> DataFrame:
