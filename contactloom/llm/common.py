@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,9 +54,12 @@ def released(spark: SparkSession) -> None:
 
     Spark drops them when the driver's collector finds their plans, which on a
     large heap may take half an hour, while a job of many steps fills the disks.
+    It takes a second round for what the first one unties.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ascii_lower(c: Column) -> Column:
