@@ -59,11 +59,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCO
     Null and empty texts overlap nothing, as do texts and items with fewer
     tokens than a mask or than the score asked for. Rows of one doc_id count as
     one document; rows without an id are looked up like others, under null.
+    Items of one id count as one item.
     """
     items = benchmark.select(F.col("item_id"), tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") >= least_score)
     # exploding the list of one keeps w a column: the optimizer would else split the text anew at each use
     listed = items.select("item_id", F.explode(F.array("item")).alias("w"))
-    seeds = all_of([seed_rows(listed, m) for m in masks]).select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item"))
+    seeds = all_of([seed_rows(listed, m) for m in masks]).select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item"), F.xxhash64("w").alias("item_version"))
     seeds = cut(seeds)
     held = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(tokens(F.col(text_col).cast("string")))).alias("w"))
     first = F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
@@ -77,13 +78,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCO
         length = F.least(F.size("item") - skipped, F.size("w") - first)
         aligned = all_of([h.select("doc_id", "item_id", first.alias("start"), F.slice("w", first + 1, length).alias("ours"), F.slice("item", skipped + 1, length).alias("theirs")) for h in hits])
     else:
-        # the seeds alone are shuffled; texts join only those that were hit
-        rows = all_of([seed_rows(held, m).select("doc_id", "at", "seed") for m in masks])
-        lines = rows.join(seeds.select("seed", "item_id", "item_at"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        # the seeds alone are shuffled; texts join only those that were hit, each its own: rows of one id, or of none, may have several
+        held = held.withColumn("version", F.xxhash64("w"))
+        rows = all_of([seed_rows(held, m).select("doc_id", "version", "at", "seed") for m in masks])
+        lines = rows.join(seeds.select("seed", "item_id", "item_version", "item_at"), "seed").select("doc_id", "version", "item_id", "item_version", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
         start = F.greatest(F.col("shift"), F.lit(0))
         skip = start - F.col("shift")
         length = F.least(F.size("item") - skip, F.size("w") - start)
-        aligned = lines.join(held, lines.doc_id.eqNullSafe(held.doc_id)).drop(held.doc_id).join(items, "item_id").select("doc_id", "item_id", start.alias("start"), F.slice("w", start + 1, length).alias("ours"), F.slice("item", skip + 1, length).alias("theirs"))
+        aligned = lines.join(held, lines.doc_id.eqNullSafe(held.doc_id) & (lines.version == held.version)).drop(held.doc_id, held.version).join(items.withColumn("item_version", F.xxhash64("item")), ["item_id", "item_version"]).select("doc_id", "item_id", start.alias("start"), F.slice("w", start + 1, length).alias("ours"), F.slice("item", skip + 1, length).alias("theirs"))
     # one row for each alignment, however many of its seeds were hit; only then the tokens are compared,
     # so that the interpreted comparison stays out of the generated loop
     scored = aligned.distinct().select("doc_id", "item_id", "start", overlap_score(F.col("ours"), F.col("theirs")).alias("score"))

@@ -40,6 +40,15 @@ def test_against_plain(tables):
     assert plain.rows(dc.overlaps(*tables, broadcast_bytes=0)) == want
 
 
+def test_rows_of_one_id_or_none(tables):
+    """Several texts under one id, and under none, and items of one id: the same on either path."""
+    d, b = tables
+    more = d.unionByName(d.where("doc_id in (10, 11, 14)").withColumn("doc_id", d.doc_id * None)).unionByName(d.where("doc_id in (12, 13)").withColumn("doc_id", d.doc_id * 0 + 15))
+    items = b.unionByName(b.where("item_id = 3").withColumn("item_id", b.item_id * 0 + 4))
+    got = plain.rows(dc.overlaps(more, items))
+    assert got == plain.rows(dc.overlaps(more, items, broadcast_bytes=0)) and sum(r[0] is None for r in got) >= 3 and sum(r[0] == 15 for r in got) >= 3
+
+
 def test_any_substituted_token_is_tolerated(spark):
     w = [f"t{i}" for i in range(14)]
     texts = [" ".join(w[:k] + ["other"] + w[k + 1 :]) for k in range(14)]
