@@ -7,6 +7,8 @@ batch function walks each page once; all the rest are compiled expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,15 @@ from contactloom.functions import dom, text, urls
 STRICT, EXTENDED = "strict", "extended"
 
 
-def company_name(c: Column) -> Column:
-    """By trust: site name, organisation, the title's last part (shared, then own), the whole shared title, the footer's owner."""
+def company_name(c: Column, organisation: Callable[[Column], Column] | None = None) -> Column:
+    """By trust: site name, organisation, the title's last part (shared, then own), the whole shared title, the footer's owner.
+
+    Last comes what ``organisation`` finds in the first heading, a plug for a model that knows names.
+    """
+    named = [text.specific(organisation(c["h1"]))] if organisation else []
     return text.let(text.clean_text(c["og_title"]), lambda og_title: F.coalesce(
         text.specific(text.clean_text(c["site_name"])), text.specific(c["org_name"]), text.company_in_title(og_title),
-        text.company_in_title(c["title"]), text.undivided_title(og_title), text.copyright_holder(c["footer"]),
+        text.company_in_title(c["title"]), text.undivided_title(og_title), text.copyright_holder(c["footer"]), *named,
     ))
 
 
@@ -132,7 +138,7 @@ def canonical(c: Column, url: Column, extended: bool = False) -> Column:
     return F.when(~F.regexp_like(found, F.lit("^https?:///")), found) if extended else found
 
 
-def extract(pages: DataFrame, profile: str = STRICT, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, profile: str = STRICT, url_col: str = "url", html_col: str = "html", organisation: Callable[[Column], Column] | None = None) -> DataFrame:
     """``pages`` with a record's nine fields for each page; nothing is shuffled.
 
     A page without html has null fields and empty lists. Copies of a page can
@@ -144,7 +150,7 @@ def extract(pages: DataFrame, profile: str = STRICT, url_col: str = "url", html_
     walked = pages.withColumn("c_", dom.raw_candidates(F.coalesce(F.col(html_col), F.lit("")), more))
     c, url = F.col("c_"), F.col(url_col)
     out = walked.withColumns({
-        "company_name": company_name_extended(c, url) if more else company_name(c),
+        "company_name": company_name_extended(c, url) if more else company_name(c, organisation),
         "phone_numbers": phones(c, more), "emails": emails(c, more), "addresses": addresses(c, more), "social_media_links": social_links(c, url, more),
         "description": description(c), "canonical_url": canonical(c, url, more), "scraped_from_url": url,
     })

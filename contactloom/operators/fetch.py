@@ -69,6 +69,12 @@ def retry_delays(max_retries: Column, first: float = 1.0, factor: float = 2.0) -
     return F.transform(steps, lambda k: F.lit(first) * F.pow(F.lit(factor), k))
 
 
+def linear_delays(tries: Column, step: float = 2.0) -> Column:
+    """Waits between tries that grow by a step each time: step, 2 step, ..."""
+    steps = F.when(tries > 1, F.sequence(F.lit(1), tries.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(steps, lambda k: F.lit(step) * k)
+
+
 def jittered(delay: Column, jitter: float = 0.5, seed: int = 0) -> Column:
     return delay * (1 - jitter + 2 * jitter * F.rand(seed))
 

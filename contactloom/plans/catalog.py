@@ -733,6 +733,13 @@ def retry_schedule(spark, sf_dir):
     return r.select("r_regionkey", (F.col("k") + 1).alias("attempt"), "wait")
 
 
+@query("SELECT r_regionkey, k::INT AS attempt, (2.0 * k)::DOUBLE AS wait FROM region, (SELECT unnest(range(1, 5)) AS k) WHERE k < r_regionkey")
+def second_retry_waits(spark, sf_dir):
+    """C5."""
+    waits = table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(fetch.linear_delays(F.col("r_regionkey"))).alias("k", "wait"))
+    return waits.select("r_regionkey", (F.col("k") + 1).alias("attempt"), "wait")
+
+
 @query("SELECT event_id, coalesce(sum((3 + event_id % 8)::DOUBLE) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM events")
 def domain_schedule(spark, sf_dir):
     """W4, C4."""

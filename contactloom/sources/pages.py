@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contactloom.config import CrawlerSettings
 from contactloom.functions.urls import fetchable, registered_domain
-from contactloom.operators.fetch import INVALID_URL, NO_TRANSPORT, OTHER, TIMED_OUT, allowed
+from contactloom.operators.fetch import INVALID_URL, NO_BROWSER, NO_TRANSPORT, OTHER, TIMED_OUT, allowed
 
 PAGE_DDL = "url STRING, html STRING, status_code INT, final_url STRING"
 #: fetches one url within a time: (html, status, final url); a browser-backed one fits as well
@@ -36,6 +36,35 @@ def http_get(url: str, headers: dict, timeout: float) -> tuple[str | None, int,
         return None, OTHER, url
 
 
+def rendered(render: Callable[[str, float], tuple[str | None, int, str]]) -> Fetcher:
+    """A fetcher by a browser: ``render(url, timeout)`` gives html, status and final url once the page's content is there.
+
+    It gets twice the time of a plain fetch; what it raises counts as the browser's failure.
+    """
+
+    def run(url: str, headers: dict, timeout: float) -> tuple[str | None, int, str]:
+        try:
+            return render(url, 2 * timeout)
+        except Exception:
+            return None, NO_BROWSER, url
+
+    return run
+
+
+def insistent(fetcher: Fetcher, tries: int = 3, step: float = 2.0, sleep=time.sleep) -> Fetcher:
+    """A fetcher that tries until a page has content and a status of success, ``tries`` times at most, waiting ``step`` seconds longer each time."""
+
+    def run(url: str, headers: dict, timeout: float) -> tuple[str | None, int, str]:
+        for k in range(1, tries + 1):
+            found = fetcher(url, headers, timeout)
+            if found[0] and 200 <= found[1] < 300 or k == tries:
+                return found
+            sleep(step * k)
+        return found
+
+    return run
+
+
 def retried(fetcher: Fetcher, settings: CrawlerSettings, sleep=time.sleep, rng: random.Random | None = None) -> Fetcher:
     """A fetcher that tries again after passing failures, waiting longer each time, with jitter."""
     rng = rng or random.Random()

@@ -86,3 +86,12 @@ def test_once_per_content(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id INT, html STRING")
     out = extract.once_per_content(df, lambda d: d.withColumn("n", F.length("html"))).orderBy("id").collect()
     assert [r.n for r in out] == [1, 1, None]
+
+
+def test_a_plug_for_names_comes_last(spark):
+    rows = [(1, "https://a.org", "<h1>Welcome to Acme Works of Boston</h1>"), (2, "https://b.org", "<h1>Welcome to Acme Works</h1><footer>&copy; 2024 Other Ltd</footer>"), (3, "https://c.org", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "id INT, url STRING, html STRING")
+    plug = lambda h1: F.nullif(F.regexp_extract(h1, "to (\\w+ Works)", 1), F.lit(""))
+    got = {r.id: r.company_name for r in extract.extract(pages, organisation=plug).collect()}
+    assert got == {1: "Acme Works", 2: "Other", 3: None}
+    assert [r.company_name for r in extract.extract(pages).orderBy("id").collect()] == [None, "Other", None]

@@ -160,3 +160,20 @@ def test_streaming(spark, tmp_path):
     q = stream.store(stream.first_seen(stream.page_drops(spark, str(tmp_path / "drops"))), leads, str(tmp_path / "ck"))
     q.awaitTermination()
     assert sorted((r.company_name, r.website) for r in leads.read().collect()) == [("Firm A", "https://a.org"), ("Firm B", "https://b.org")]
+
+
+def test_browser_plug_and_second_retries():
+    from contactloom.sources import pages
+
+    seen, waits = [], []
+
+    def render(url, timeout):
+        seen.append(timeout)
+        if len(seen) < 3:
+            raise RuntimeError("no browser")
+        return "<p>x</p>", 200, url
+
+    assert pages.rendered(render)("u", {}, 5.0) == (None, 598, "u") and seen == [10.0]
+    assert pages.insistent(pages.rendered(render), sleep=waits.append)("u", {}, 5.0) == ("<p>x</p>", 200, "u") and waits == [2.0]
+    waits.clear()
+    assert pages.insistent(lambda *a: (None, 404, "u"), sleep=waits.append)("u", {}, 1.0)[1] == 404 and waits == [2.0, 4.0]
