@@ -59,7 +59,7 @@ def released(spark: SparkSession) -> None:
     for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.2)
 
 
 def ascii_lower(c: Column) -> Column:
