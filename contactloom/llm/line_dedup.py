@@ -101,7 +101,8 @@ def dedup(docs: DataFrame, every: int = EVERY, least: int = LEAST, id_col: str =
     # the outer form, since for the other one the planner would cut every text twice, once to see that it has chunks
     each = stored(found.select("id", "version", F.size("c").alias("n"), F.explode_outer("c").alias("c")).where("c is not null").select("id", "version", "n", "c.*"))
     able = each.where((F.col("e") - F.col("b") >= 2) & F.col("id").isNotNull())
-    groups = able.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a")
+    # written, so that the join exchanges both sides and a hash of very many rows can be split
+    groups = stored(able.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a"))
     # with one row for every text, which says how many chunks it has
     met = able.join(groups, "h").select("id", "version", F.lit(None).cast("int").alias("n"), F.struct("b", "e", "h", "a").alias("x"))
     own = each.where("b = 0").select("id", "version", "n", F.lit(None).cast(met.schema["x"].dataType).alias("x")).unionByName(met)
