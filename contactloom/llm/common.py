@@ -41,12 +41,22 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Unlike a checkpoint the reread table has a known size, so that the planner
-    can tell whether it may be broadcast.
+    can tell whether it may be broadcast, and its files stay until ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``stored``, once all that was to be read of them is written elsewhere."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def released(spark: SparkSession) -> None:

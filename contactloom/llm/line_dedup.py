@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import cut, released, stored
+from contactloom.llm.common import cut, dropped, released, stored
 
 #: A piece ends after a line in EVERY of 16 on average; a chunk of fewer characters than LEAST is no passage.
 EVERY, LEAST = 12, 50
@@ -107,14 +107,21 @@ def dedup(docs: DataFrame, every: int = EVERY, least: int = LEAST, id_col: str =
     met = able.join(groups, "h").select("id", "version", F.lit(None).cast("int").alias("n"), F.struct("b", "e", "h", "a").alias("x"))
     own = each.where("b = 0").select("id", "version", "n", F.lit(None).cast(met.schema["x"].dataType).alias("x")).unionByName(met)
     own = stored(own.groupBy("id", "version").agg(F.max("n").alias("n_chunks"), F.array_sort(F.collect_set("x")).alias("found")).toDF("own_id", "own_version", "n_chunks", "found"))
+    dropped(each, groups)
     released(docs.sparkSession)
     joined = rows.join(own, rows.id.eqNullSafe(own.own_id) & (rows.version == own.own_version), "left").select("id", "version", "row", "n_chunks", F.when(F.size("found") > 0, F.col("found")).alias("found"))
     joined = cut(joined)
+    dropped(own)
     released(docs.sparkSession)
     said = joined.where("found is not null").select("id", "version", F.explode_outer(_spelled(text_col)).alias("x")).select("id", "version", "x.*")
     mixed = stored(said.groupBy("h").agg((F.min("t") != F.max("t")).alias("mixed")).where("mixed").select("h"))
+    released(docs.sparkSession)
     none = F.expr("cast(array() as array<int>)")
-    joined = joined.withColumns({"doubted": none, "proven": none}) if mixed.isEmpty() else _proven(joined.drop("doubted", "proven"), said.join(mixed, "h"))
+    if mixed.isEmpty():
+        dropped(mixed)
+        joined = joined.withColumns({"doubted": none, "proven": none})
+    else:
+        joined = _proven(joined.drop("doubted", "proven"), said.join(mixed, "h"))
     return _cleaned(joined, text_col, least)
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import by_bytes, cut, released, stored, texts_of
+from contactloom.llm.common import by_bytes, cut, dropped, released, stored, texts_of
 from contactloom.llm.components import components
 from contactloom.llm.simhash import Code, hashes_of, majority, near_anchors, shingle_hashes
 
@@ -194,8 +194,12 @@ def points(firsts: DataFrame, similarity: float) -> DataFrame:
     """
     each = firsts.select("rep", "n", F.posexplode("firsts").alias("pos", "at"))
     reach = F.col("pos") <= F.col("n") - least_shared(F.col("n"), F.col("n"), similarity)
-    shared = each.groupBy("at").agg(F.count("*").alias("k"), F.max(reach).alias("reach")).where("k > 1 and reach").select("at")
-    return each.join(shared, "at")
+    # written, so that what is exchanged to find them goes before their rows are
+    shared = stored(each.groupBy("at").agg(F.count("*").alias("k"), F.max(reach).alias("reach")).where("k > 1 and reach").select("at"))
+    released(firsts.sparkSession)
+    met = cut(each.join(shared, "at"))
+    dropped(shared)
+    return met
 
 
 def divided(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -272,7 +276,10 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     near_hubs = cut(star_pairs(worded, seeds))
     released(docs.sparkSession)
     distinct = seen.select("doc_id", "copy", "n", "firsts").join(worded.select(F.col("rep").alias("doc_id"), "copy"), ["doc_id", "copy"], "left_semi")
-    met = cut(points(distinct.select(F.col("doc_id").alias("rep"), "n", "firsts"), similarity))
+    distinct = stored(distinct.select(F.col("doc_id").alias("rep"), "n", "firsts"))
+    released(docs.sparkSession)
+    met = points(distinct, similarity)
+    dropped(distinct)
     released(docs.sparkSession)
     sets = seen.select(F.col("doc_id").alias("rep"), "n", *MARKS, "held")
     links = cut(verified(near_hubs, sets, similarity))
@@ -299,7 +306,10 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     links = links.unionByName(cut(verified(pairs.distinct(), sets, similarity)))
     roots = components(links)
     named = texts.join(roots, texts.rep == roots.node, "left").where("k > 1 or root is not null").select("copy", F.coalesce("root", "rep").alias("class_id"))
-    return seen.select("doc_id", "copy").join(named, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = cut(seen.select("doc_id", "copy").join(named, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    dropped(seen)
+    released(docs.sparkSession)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

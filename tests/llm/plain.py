@@ -25,6 +25,11 @@ def documents(spark, texts, **more):
     return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, fp string, n int")
 
 
+def tables_left(spark) -> set[str]:
+    """The tables that operators have written to the shared folder and not dropped."""
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("loom-*")}
+
+
 def against_sql(spark, query, sql, sf_dir=SMALL):
     """Rows of a query and of its SQL, columns by name, values compared exactly but for floats at six digits."""
     import duckdb

@@ -38,6 +38,15 @@ def test_against_plain(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_no_table_is_left_behind(spark):
+    """Tables between the steps go once they were read, and the result is read without them."""
+    docs = plain.documents(spark, corpus())
+    before = plain.tables_left(spark)
+    found, got = run(docs)
+    assert plain.tables_left(spark) == before
+    assert got == sorted(plain.line_dedup(list(enumerate(corpus())), *ARGS), key=repr)
+
+
 def passages_left(spark, passage, n=40):
     """Of the documents that repeat a passage: the share that has none of its lines left, some, and the mean share of lines gone."""
     rng = random.Random(9)

@@ -98,6 +98,15 @@ def test_near_copies_against_all_pairs(spark):
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_copies_leave_no_table_behind(spark):
+    """Tables between the steps go once they were read, so they lie on no disk beside what later steps write."""
+    docs = plain.documents(spark, corpus(5))
+    before = plain.tables_left(spark)
+    found = near_copies.classes(docs)
+    assert plain.tables_left(spark) == before
+    assert found.count() == docs.count()
+
+
 def test_a_group_of_copies_costs_its_size(spark, monkeypatch):
     """Pairs compared in a group of near copies are a small multiple of the group, not its square."""
     rng = random.Random(7)
