@@ -188,10 +188,14 @@ def parse_address(c: Column) -> Column:
 
 def format_address(a: Column) -> Column:
     """Parts as one line: house, road and unit, or the box; city, region with code; the country if it is another."""
-    road = F.when(a["road"].isNotNull(), F.concat_ws(" ", a["house_number"], a["road"], a["unit"])).otherwise(F.concat(F.lit("PO Box "), a["po_box"]))
-    area = F.nullif(F.concat_ws(", ", a["city"], F.nullif(F.concat_ws(" ", a["state"], a["postcode"]), F.lit(""))), F.lit(""))
-    abroad = F.when(~F.upper(a["country"]).isin("US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"), a["country"])
-    return F.when(road.isNotNull() & (a["city"].isNotNull() | a["postcode"].isNotNull()), F.concat_ws(", ", road, area, abroad))
+
+    def line(a: Column) -> Column:
+        road = F.when(a["road"].isNotNull(), F.concat_ws(" ", a["house_number"], a["road"], a["unit"])).otherwise(F.concat(F.lit("PO Box "), a["po_box"]))
+        area = F.nullif(F.concat_ws(", ", a["city"], F.nullif(F.concat_ws(" ", a["state"], a["postcode"]), F.lit(""))), F.lit(""))
+        abroad = F.when(~F.upper(a["country"]).isin("US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"), a["country"])
+        return F.when(road.isNotNull() & (a["city"].isNotNull() | a["postcode"].isNotNull()), F.concat_ws(", ", road, area, abroad))
+
+    return let(a, line)
 
 
 def postal_address(street: Column, city: Column, region: Column, code: Column) -> Column:

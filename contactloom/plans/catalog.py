@@ -34,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PAGES_A_TASK = 2_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to a task for every PAGES_A_TASK, and to one a core at least.
+
+    A table that pages are made from is small, so one task would read it and walk all pages; its bytes say nothing of that work.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PAGES_A_TASK)))
+
+
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -268,7 +279,7 @@ CASE WHEN {_K} % 5 = 0 THEN '<link rel="canonical" href="/about/' || {_K} || '">
 
 
 def made_pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"concat('https://www.firm', s_suppkey, '.org/index.html') AS url", f"{_HTML} AS html")
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey")).selectExpr("s_suppkey", f"concat('https://www.firm', s_suppkey, '.org/index.html') AS url", f"{_HTML} AS html")
 
 
 @query("""
@@ -310,7 +321,7 @@ SELECT s_suppkey, 'Alpha ' || s_suppkey || ' Works' AS company_name, CASE WHEN {
 FROM supplier""")
 def page_records_wide(spark, sf_dir):
     """Pages of which the strict profile reads next to nothing."""
-    pages = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('https://www.firm', s_suppkey, '.org/index.html') AS url", f"{_WIDE} AS html")
+    pages = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).selectExpr("s_suppkey", "concat('https://www.firm', s_suppkey, '.org/index.html') AS url", f"{_WIDE} AS html")
     return _shown(extract.extract(pages, extract.EXTENDED))
 
 

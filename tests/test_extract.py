@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactloom.operators import extract
+from contactloom.functions import contacts as C
 from contactloom.functions import dom
 from contactloom.plans import catalog
 
@@ -116,3 +117,21 @@ def test_records_of_long_keys_are_as_in_sql(spark, tmp_path):
         df = catalog.QUERIES[name](spark, str(tmp_path))
         expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]}) ORDER BY s_suppkey").fetchall()
         assert [tuple(r) for r in df.orderBy("s_suppkey").collect()] == expected
+
+
+def test_pages_are_walked_once_and_in_as_many_tasks_as_they_need(spark, tmp_path):
+    spark.range(9000).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    for name in ("page_records", "page_records_extended", "page_records_wide"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [run(") == 1 and "RoundRobinPartitioning(5)" in plan
+
+
+def test_an_address_is_parsed_once_for_its_line(spark):
+    line = C.format_address(C.parse_address(F.col("t")))
+    df = spark.createDataFrame([("12 Elm Road, Apt 4, Austin, TX 75001",)], "t STRING").select(line.alias("line"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 7 and df.first().line == "12 Elm Road Apt 4, Austin, TX 75001"
+
+
+def test_no_pages(spark):
+    pages = spark.createDataFrame([("a", "b")], "url STRING, html STRING").where("url = 'c'")
+    assert extract.worth_keeping(extract.extract(pages, "extended")).count() == 0
